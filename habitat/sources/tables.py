@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,12 +34,18 @@ def read_occurrences(
 
     Real files have more columns, in any order, so all header columns are read as
     text and the six used ones are cast; column pruning keeps the parser on those.
+    ``rows`` takes the first rows of each file, before any filter.
     """
-    raw = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(paths)
     columns = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in OCCURRENCE_SCHEMA]
     extra = [F.col("_metadata.file_name").alias("file_name")] if with_file else []
-    out = raw.select(*columns, *extra)
-    return out if rows is None else out.limit(rows)
+
+    def one(path: str) -> DataFrame:
+        raw = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path)
+        part = raw.select(*columns, *extra)
+        return part if rows is None else part.limit(rows)
+
+    # Each file is read by its own header; files may order their columns differently.
+    return reduce(DataFrame.unionByName, [one(p) for p in ([paths] if isinstance(paths, str) else paths)])
 
 
 def read_stage(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
