@@ -421,14 +421,14 @@ SELECT row_id, CAST(k AS INTEGER) AS class, {cover('k')} AS "Land_cover" FROM fo
     "raster_window_mode": f"""
 WITH {rasters()},
 w AS (SELECT *, greatest(r1 - 5, 0) AS ra, greatest(c1 - 5, 0) AS ca, greatest(r2 - 5, 0) AS rb, greatest(c2 - 5, 0) AS cb FROM points),
-ok AS (SELECT *, ra < h1 AND ca < 125 AS valid1 FROM w),
+ok AS (SELECT *, ra < h1 AND ca < 125 AS valid1, rb < h2 AND cb < 50 AS valid2 FROM w),
 m1 AS (SELECT row_id, k, count(*) AS n FROM ok JOIN gb ON gb.r >= ra AND gb.r < ra + 10 AND gb.c >= ca AND gb.c < ca + 10
         WHERE valid1 AND k <> 0 AND gb.r < h1 GROUP BY row_id, k),
 m2 AS (SELECT row_id, k, count(*) AS n FROM ok JOIN ni ON ni.r >= rb AND ni.r < rb + 10 AND ni.c >= cb AND ni.c < cb + 10
         WHERE valid1 AND k <> 0 AND ni.r < h2 GROUP BY row_id, k),
 b1 AS (SELECT row_id, k FROM m1 QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY n DESC, k) = 1),
 b2 AS (SELECT row_id, k FROM m2 QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY n DESC, k) = 1),
-found AS (SELECT ok.row_id, CASE WHEN valid1 THEN coalesce(b1.k, b2.k, 0) END AS k FROM ok
+found AS (SELECT ok.row_id, CASE WHEN NOT valid1 THEN NULL WHEN b1.k IS NOT NULL THEN b1.k WHEN valid2 THEN coalesce(b2.k, 0) END AS k FROM ok
            LEFT JOIN b1 ON b1.row_id = ok.row_id LEFT JOIN b2 ON b2.row_id = ok.row_id)
 SELECT row_id, CAST(k AS INTEGER) AS class, {cover('k')} AS "Land_cover" FROM found""",
     "points_in_polygon": f"SELECT row_id FROM ({PLANAR}) p JOIN ({inside(PLANAR)}) i ON i.x = p.x AND i.y = p.y",

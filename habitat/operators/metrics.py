@@ -22,12 +22,20 @@ def _null_safe_join(left: DataFrame, right: DataFrame, by: list[str], how: str =
     return left.join(right, by, how)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over rows with both values; null where one side is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def boyce_index(df: DataFrame, p: str = "p", label: str = "label", bins: int = 10, by: list[str] | None = None) -> DataFrame:
     """Boyce index per group, as column ``boyce``.
 
     Equal-width bins over all scores of the group, the last one closed. Correlation
     of bin middle and presence/background ratio over bins that hold background.
-    0 with fewer than two different presence scores or two such bins.
+    0 with fewer than two different presence scores or two such bins; NaN where the
+    ratio is the same in all of them.
     """
     by = list(by or [])
     score = F.col(p).cast("double")
@@ -67,7 +75,7 @@ def boyce_index(df: DataFrame, p: str = "p", label: str = "label", bins: int = 1
     held = F.col("_zero") > 0
     ratio = F.when(held, F.col("_one") / F.col("_zero"))
     out = binned.groupBy(*by).agg(
-        F.corr(F.when(held, middle), ratio).alias("_corr"),
+        correlation(F.when(held, middle), ratio).alias("_corr"),
         F.sum(held.cast("int")).alias("_bins"),
         F.coalesce(F.max(F.col("_phi") > F.col("_plo")), F.lit(False)).alias("_varies"),
     )
@@ -161,13 +169,17 @@ def evaluate_ensembles(wide: DataFrame, models: list[str], label: str = "label",
     by = list(by or [])
     long = subset_scores(wide, models, [*by, label])
     scored = evaluate(long, "p", label, [*by, "ensemble"])
-    return scored.select(*by, "ensemble", "auc", "boyce", "mixed").orderBy(*by, F.desc("mixed"), "ensemble")
+    best_first = F.desc_nulls_last(F.nullif(F.col("mixed"), F.lit(float("nan"))))
+    return scored.select(*by, "ensemble", "auc", "boyce", "mixed").orderBy(*by, best_first, "ensemble")
 
 
 def corr_with(df: DataFrame, target: str = "probability", columns: list[str] | None = None) -> DataFrame:
-    """Correlation of every column with ``target``, in one pass, highest first."""
+    """Correlation of every column with ``target``, in one pass, highest first.
+
+    A constant column has no correlation (null) and comes last.
+    """
     columns = columns or [c for c, t in df.dtypes if t in ("int", "bigint", "float", "double")]
-    one = df.agg(*[F.corr(F.col(f"`{c}`").cast("double"), F.col(target).cast("double")).alias(c) for c in columns])
+    one = df.agg(*[correlation(F.col(f"`{c}`").cast("double"), F.col(target).cast("double")).alias(c) for c in columns])
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("corr")) for c in columns])
     return one.select(F.explode(rows).alias("r")).select("r.feature", "r.corr").orderBy(F.desc("corr"), "feature")
 
