@@ -242,8 +242,10 @@ def order_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lattice_values(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders on a 1 km lattice; pending orders are missing nodes."""
+    """Orders on a 1 km lattice; pending orders are nodes without a value."""
     k = F.col("o_orderkey")
-    return table(spark, sf, "orders").filter(F.col("o_orderstatus") != "P").select(
-        (F.floor(k / 125) * 1000.0).alias("x"), (F.pmod(k, F.lit(125)) * 1000.0).alias("y"), F.col("o_totalprice").alias("probability")
+    return table(spark, sf, "orders").select(
+        (F.floor(k / 125) * 1000.0).alias("x"),
+        (F.pmod(k, F.lit(125)) * 1000.0).alias("y"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("probability"),
     )
