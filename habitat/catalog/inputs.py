@@ -95,6 +95,7 @@ def scenes(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("scene_id"),
         F.to_date("l_shipdate").alias("acq_date"),
         F.col("l_extendedprice").alias("cloud_pct"),
+        F.col("l_suppkey").alias("supplier"),
         (lat - half).alias("lat_min"),
         (lat + half).alias("lat_max"),
         (lon - half).alias("lon_min"),

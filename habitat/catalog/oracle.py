@@ -144,12 +144,16 @@ PLANAR = f"SELECT o_orderkey AS row_id, {px('o_orderkey')} AS x, {py('o_orderkey
 SEGMENTS = f"SELECT {px('s_suppkey')} AS x1, {py('s_suppkey')} AS y1, {px('s_suppkey + 1')} AS x2, {py('s_suppkey + 1')} AS y2 FROM supplier"
 
 
-def rasters() -> str:
-    return f"""
+def raster_tables() -> str:
+    return """
 size1 AS (SELECT max(o_orderkey) // 125 + 1 AS h FROM orders), size2 AS (SELECT max(p_partkey) // 50 + 1 AS h FROM part),
 gb AS (SELECT o_orderkey // 125 AS r, o_orderkey % 125 AS c,
               CASE WHEN o_orderkey // 125 * 4 < h THEN 0 ELSE o_custkey % 22 END AS k FROM orders, size1),
-ni AS (SELECT p_partkey // 50 AS r, p_partkey % 50 AS c, CASE WHEN p_partkey % 50 < 15 THEN 0 ELSE p_size % 22 END AS k FROM part),
+ni AS (SELECT p_partkey // 50 AS r, p_partkey % 50 AS c, CASE WHEN p_partkey % 50 < 15 THEN 0 ELSE p_size % 22 END AS k FROM part)"""
+
+
+def rasters() -> str:
+    return f"""{raster_tables()},
 points AS (SELECT c_custkey AS row_id,
    CAST(floor((c_custkey * 104729 % 129 * 10 - 15) / {d(10.0)}) AS BIGINT) AS c1,
    CAST(floor((c_custkey * 7919 % (size1.h + 4) * 10 - 15) / {d(10.0)}) AS BIGINT) AS r1,
@@ -158,6 +162,81 @@ points AS (SELECT c_custkey AS row_id,
    size1.h AS h1, size2.h AS h2 FROM customer, size1, size2)"""
 
 
+WINDOW_MODE = """
+w AS (SELECT *, greatest(r1 - 5, 0) AS ra, greatest(c1 - 5, 0) AS ca, greatest(r2 - 5, 0) AS rb, greatest(c2 - 5, 0) AS cb FROM points),
+ok AS (SELECT *, ra < h1 AND ca < 125 AS valid1, rb < h2 AND cb < 50 AS valid2 FROM w),
+m1 AS (SELECT row_id, k, count(*) AS n FROM ok JOIN gb ON gb.r >= ra AND gb.r < ra + 10 AND gb.c >= ca AND gb.c < ca + 10
+        WHERE valid1 AND k <> 0 AND gb.r < h1 GROUP BY row_id, k),
+m2 AS (SELECT row_id, k, count(*) AS n FROM ok JOIN ni ON ni.r >= rb AND ni.r < rb + 10 AND ni.c >= cb AND ni.c < cb + 10
+        WHERE valid1 AND k <> 0 AND ni.r < h2 GROUP BY row_id, k),
+b1 AS (SELECT row_id, k FROM m1 QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY n DESC, k) = 1),
+b2 AS (SELECT row_id, k FROM m2 QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY n DESC, k) = 1),
+found AS (SELECT ok.row_id, CASE WHEN NOT valid1 THEN NULL WHEN b1.k IS NOT NULL THEN b1.k WHEN valid2 THEN coalesce(b2.k, 0) END AS k FROM ok
+           LEFT JOIN b1 ON b1.row_id = ok.row_id LEFT JOIN b2 ON b2.row_id = ok.row_id)"""
+
+
+def site_flag(radius: float) -> str:
+    return f"""
+SELECT r.row_id, CAST(coalesce(max(CASE WHEN s.la IS NOT NULL THEN 1 END), 0) AS INTEGER) AS wind_turbines_presence
+FROM ({RECORDS}) r LEFT JOIN (SELECT {lat('s_suppkey')} AS la, {lon('s_suppkey')} AS lo FROM supplier WHERE s_acctbal > 0) s
+  ON {haversine('r.la', 'r.lo', 's.la', 's.lo')} <= {d(radius)} GROUP BY r.row_id"""
+
+
+def least_cloudy(scene_id: str) -> str:
+    return f"""
+WITH daily AS (SELECT CAST(l_shipdate AS DATE) AS acq, min({{'cloud': l_extendedprice, 'id': {scene_id}}}) AS s
+               FROM lineitem GROUP BY 1)
+SELECT r.row_id, min(s).id AS scene_id FROM ({RECORDS}) r LEFT JOIN daily ON acq >= dt - 15 AND acq < dt + 15 GROUP BY r.row_id"""
+
+
+def temperature() -> str:
+    half = d(10.0 / 111.32 / 2)
+    return f"""
+WITH readings AS (SELECT l_partkey AS k, CAST(l_shipdate AS DATE) AS acq, {lat('l_partkey')} AS pla, {lon('l_partkey')} AS plo,
+                         CAST(14000 + l_orderkey % 1000 AS DOUBLE) AS raw FROM lineitem),
+pixel AS (SELECT r.row_id, pla, plo, avg(raw) AS m FROM ({RECORDS}) r JOIN readings ON acq >= dt - 15 AND acq < dt + 15
+   AND pla BETWEEN la - {half} AND la + {half} AND plo BETWEEN lo - {half} AND lo + {half} GROUP BY r.row_id, pla, plo)
+SELECT o_orderkey AS row_id, "LST" FROM orders LEFT JOIN (
+  SELECT row_id, round(avg(m * {d(0.02)}), 6) AS "LST" FROM pixel GROUP BY row_id) ON row_id = o_orderkey"""
+
+
+def enriched() -> str:
+    """All enrichment steps over the orders, each in its unbucketed form."""
+    half = d(10.0 / 111.32 / 2)
+    names = ["A", "N", "R"]
+    near = haversine("r.la", "r.lo", "c.la", "c.lo")
+    columns = ", ".join(f'coalesce(max(CASE WHEN c.cov = \'{n}\' THEN 1 END), 0) AS "{n}_presence"' for n in names)
+    return f"""
+WITH rec AS MATERIALIZED ({RECORDS}),
+scene AS MATERIALIZED ({least_cloudy('l_suppkey')}),
+pix AS MATERIALIZED (SELECT l_suppkey AS scene_id, {lat('l_orderkey')} AS pla, {lon('l_orderkey')} AS plo, {bands('l_partkey')} FROM lineitem),
+means AS MATERIALIZED (SELECT r.row_id, {', '.join(f'avg({v}) AS "{k}"' for k, v in INDICES.items())}
+  FROM rec r JOIN scene ON scene.row_id = r.row_id JOIN pix ON pix.scene_id = scene.scene_id
+   AND pla BETWEEN la - {half} AND la + {half} AND plo BETWEEN lo - {half} AND lo + {half} GROUP BY r.row_id),
+temp AS MATERIALIZED ({temperature()}),
+cov AS MATERIALIZED ({COVARIATES}),
+flag AS MATERIALIZED (SELECT r.row_id, {columns} FROM rec r LEFT JOIN cov c
+  ON year(r.dt) = year(c.dt) AND month(r.dt) = month(c.dt) AND {near} <= {d(1.0)} GROUP BY r.row_id),
+site AS MATERIALIZED ({site_flag(1.0)}),
+gbxy AS MATERIALIZED ({projection(*BRITISH, 'la', 'lo', RECORDS)}),
+nixy AS MATERIALIZED ({projection(*IRISH, 'la', 'lo', RECORDS)}),
+road AS (SELECT x1 + {d(330000.0)} AS x1, y1 + {d(12000.0)} AS y1, x2 - x1 AS dx, y2 - y1 AS dy FROM ({SEGMENTS})),
+along AS (SELECT row_id, east AS x, north AS y, x1, y1, dx, dy,
+   greatest({d(0.0)}, least({d(1.0)}, coalesce(((east - x1) * dx + (north - y1) * dy) / nullif(dx * dx + dy * dy, 0), 0))) AS t FROM gbxy, road),
+near_road AS (SELECT row_id, CASE WHEN min(sqrt((x - x1 - t * dx) ** 2 + (y - y1 - t * dy) ** 2)) <= 500 THEN 1 ELSE 0 END AS near_road
+  FROM along GROUP BY row_id),
+{raster_tables()},
+points AS (SELECT g.row_id, CAST(floor((g.east - 320000) / 1000) AS BIGINT) AS c1, CAST(floor((140000 - g.north) / 1000) AS BIGINT) AS r1,
+   CAST(floor((i.east - 545000) / 2000) AS BIGINT) AS c2, CAST(floor((-5000 - i.north) / 2000) AS BIGINT) AS r2, size1.h AS h1, size2.h AS h2
+   FROM gbxy g JOIN nixy i ON i.row_id = g.row_id, size1, size2),
+{WINDOW_MODE}
+SELECT rec.row_id, dt AS "eventDate", {', '.join(f'round("{k}", 6) AS "{k}"' for k in INDICES)}, "LST", "A_presence", "N_presence", "R_presence",
+  wind_turbines_presence, near_road, {cover('k')} AS "Land_cover"
+FROM rec JOIN means ON means.row_id = rec.row_id JOIN temp ON temp.row_id = rec.row_id JOIN flag ON flag.row_id = rec.row_id
+ JOIN site ON site.row_id = rec.row_id JOIN near_road ON near_road.row_id = rec.row_id JOIN found ON found.row_id = rec.row_id
+WHERE {' AND '.join(f'"{k}" IS NOT NULL' for k in INDICES)} AND "LST" IS NOT NULL AND k BETWEEN 1 AND 21"""
+
+
 def boyce(source: str, group: str) -> str:
     """Boyce index per group of a (group, p, label) source."""
     return f"""
@@ -372,10 +451,7 @@ WITH clean AS (SELECT row_id, "decimalLatitude" AS la, "decimalLongitude" AS lo,
 flagged AS ({flags('SELECT * FROM clean', ['R'])})
 SELECT CAST(month(dt) AS INTEGER) AS month, count(*) AS records, CAST(sum("R_presence") AS BIGINT) AS flagged,
        round(avg("R_presence"), 6) AS share FROM clean JOIN flagged ON clean.row_id = flagged.row_id GROUP BY month(dt)""",
-    "site_radius_flag": f"""
-SELECT r.row_id, CAST(coalesce(max(CASE WHEN s.la IS NOT NULL THEN 1 END), 0) AS INTEGER) AS wind_turbines_presence
-FROM ({RECORDS}) r LEFT JOIN (SELECT {lat('s_suppkey')} AS la, {lon('s_suppkey')} AS lo FROM supplier WHERE s_acctbal > 0) s
-  ON {haversine('r.la', 'r.lo', 's.la', 's.lo')} <= {d(5.0)} GROUP BY r.row_id""",
+    "site_radius_flag": site_flag(5.0),
     "lookup_first": f"""
 SELECT c_custkey, coalesce(o_totalprice, 0) AS o_totalprice FROM customer LEFT JOIN (
   SELECT {lat('o_custkey')} AS la, {lon('o_custkey')} AS lo, o_totalprice,
@@ -393,20 +469,10 @@ found AS (
    AND sla - half <= la + {d(1.0 / 111.32 / 2)} AND sla + half >= la - {d(1.0 / 111.32 / 2)}
    AND slo - half <= lo + {d(1.0 / 111.32 / 2)} AND slo + half >= lo - {d(1.0 / 111.32 / 2)})
 SELECT o_orderkey AS row_id, id AS scene_id FROM orders LEFT JOIN found ON row_id = o_orderkey AND i = 1""",
-    "least_cloudy_anywhere": f"""
-WITH daily AS (SELECT CAST(l_shipdate AS DATE) AS acq, min({{'cloud': l_extendedprice, 'id': l_orderkey * 10 + l_linenumber}}) AS s
-               FROM lineitem GROUP BY 1)
-SELECT r.row_id, min(s).id AS scene_id FROM ({RECORDS}) r LEFT JOIN daily ON acq >= dt - 15 AND acq < dt + 15 GROUP BY r.row_id""",
+    "least_cloudy_anywhere": least_cloudy("l_orderkey * 10 + l_linenumber"),
     "aoi_mean": aoi(INDICES, None),
     "aoi_mean_of_bands": aoi({b: b for b in PRIMES}, INDICES),
-    "lst_mean": f"""
-WITH readings AS (SELECT l_partkey AS k, CAST(l_shipdate AS DATE) AS acq, {lat('l_partkey')} AS pla, {lon('l_partkey')} AS plo,
-                         CAST(14000 + l_orderkey % 1000 AS DOUBLE) AS raw FROM lineitem),
-pixel AS (SELECT r.row_id, pla, plo, avg(raw) AS m FROM ({RECORDS}) r JOIN readings ON acq >= dt - 15 AND acq < dt + 15
-   AND pla BETWEEN la - {d(10.0 / 111.32 / 2)} AND la + {d(10.0 / 111.32 / 2)}
-   AND plo BETWEEN lo - {d(10.0 / 111.32 / 2)} AND lo + {d(10.0 / 111.32 / 2)} GROUP BY r.row_id, pla, plo)
-SELECT o_orderkey AS row_id, "LST" FROM orders LEFT JOIN (
-  SELECT row_id, round(avg(m * {d(0.02)}), 6) AS "LST" FROM pixel GROUP BY row_id) ON row_id = o_orderkey""",
+    "lst_mean": temperature(),
     "nearest_segment": f"""
 WITH pairs AS (SELECT p.row_id, x, y, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy FROM ({PLANAR}) p, ({SEGMENTS}) s),
 along AS (SELECT *, greatest({d(0.0)}, least({d(1.0)}, coalesce(((x - x1) * dx + (y - y1) * dy) / nullif(dx * dx + dy * dy, 0), 0))) AS t FROM pairs),
@@ -420,16 +486,7 @@ found AS (SELECT p.row_id, CASE WHEN r1 BETWEEN 0 AND h1 - 1 AND c1 BETWEEN 0 AN
 SELECT row_id, CAST(k AS INTEGER) AS class, {cover('k')} AS "Land_cover" FROM found""",
     "raster_window_mode": f"""
 WITH {rasters()},
-w AS (SELECT *, greatest(r1 - 5, 0) AS ra, greatest(c1 - 5, 0) AS ca, greatest(r2 - 5, 0) AS rb, greatest(c2 - 5, 0) AS cb FROM points),
-ok AS (SELECT *, ra < h1 AND ca < 125 AS valid1, rb < h2 AND cb < 50 AS valid2 FROM w),
-m1 AS (SELECT row_id, k, count(*) AS n FROM ok JOIN gb ON gb.r >= ra AND gb.r < ra + 10 AND gb.c >= ca AND gb.c < ca + 10
-        WHERE valid1 AND k <> 0 AND gb.r < h1 GROUP BY row_id, k),
-m2 AS (SELECT row_id, k, count(*) AS n FROM ok JOIN ni ON ni.r >= rb AND ni.r < rb + 10 AND ni.c >= cb AND ni.c < cb + 10
-        WHERE valid1 AND k <> 0 AND ni.r < h2 GROUP BY row_id, k),
-b1 AS (SELECT row_id, k FROM m1 QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY n DESC, k) = 1),
-b2 AS (SELECT row_id, k FROM m2 QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY n DESC, k) = 1),
-found AS (SELECT ok.row_id, CASE WHEN NOT valid1 THEN NULL WHEN b1.k IS NOT NULL THEN b1.k WHEN valid2 THEN coalesce(b2.k, 0) END AS k FROM ok
-           LEFT JOIN b1 ON b1.row_id = ok.row_id LEFT JOIN b2 ON b2.row_id = ok.row_id)
+{WINDOW_MODE}
 SELECT row_id, CAST(k AS INTEGER) AS class, {cover('k')} AS "Land_cover" FROM found""",
     "points_in_polygon": f"SELECT row_id FROM ({PLANAR}) p JOIN ({inside(PLANAR)}) i ON i.x = p.x AND i.y = p.y",
     "masked_grid": f"""
@@ -501,4 +558,5 @@ SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, roun
     "linear_attribution": f"SELECT row_id, feature, round(value, 6) AS value FROM ({linear_values()})",
     "linear_importance": f"SELECT feature, round(avg(abs(value)), 6) AS importance FROM ({linear_values()}) GROUP BY feature ORDER BY avg(abs(value)) DESC, feature LIMIT 5",
     "residual_mlp_score": mlp(),
+    "enriched_records": enriched(),
 }

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from habitat.catalog import inputs as I
-from habitat.config import ENV_VARS, LAND_COVER, LogitParams
+from habitat.config import ENV_VARS, LAND_COVER, LogitParams, Species
 from habitat.functions import geo, losses, spectral
 from habitat.functions.projection import bng_to_wgs84, to_bng, to_irish_grid
 from habitat.learning import attribution, logit, mlp, multiclass
 from habitat.operators import cleaning, encoding, grid, lookup, metrics, polygons, radius, raster, roads, scenes, splits
+from habitat.plans import enrich
 
 REQUEST = {
     "predicate": {
@@ -402,6 +404,31 @@ def calibrate(spark: SparkSession, sf: str) -> DataFrame:
     return multiclass.apply_calibration(scored, fits).select("row_id", "species", "prediction", "probabilities")
 
 
+# --- stages ------------------------------------------------------------------
+
+def enriched_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Every enrichment step over the orders, written out between the steps."""
+    pixels, first, second = I.rasters(spark, sf)
+    roads_at = I.segments(spark, sf).select(
+        *[(F.col(c) + (330000.0 if c[0] == "x" else 12000.0)).alias(c) for c in ("x1", "y1", "x2", "y2")]
+    )
+    layers = enrich.Layers(
+        scenes=I.scenes(spark, sf).select("acq_date", "cloud_pct", F.col("supplier").alias("scene_id")),
+        scene_pixels=I.scene_pixels(spark, sf),
+        lst_pixels=I.lst_pixels(spark, sf),
+        covariates=I.covariates(spark, sf),
+        raster=pixels,
+        first_raster=replace(first, x0=320000.0, y0=140000.0, res=1000.0),
+        second_raster=replace(second, x0=545000.0, y0=-5000.0, res=2000.0),
+        sites=cleaning.operational_sites(I.site_register(spark, sf)),
+        roads=roads_at,
+    )
+    spec = Species("orders", ("A", "N", "R"), wind_turbines=True, roads=True)
+    out = enrich.enrich(I.records(spark, sf), spec, layers, window=10, km=10.0)
+    shown = [F.round(c, 6).alias(c) for c in (*spectral.INDEX_NAMES, "LST")]
+    return out.select("row_id", "eventDate", *shown, *spec.flags, "Land_cover")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -414,6 +441,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         hash_split, scaler_fit, scaler_apply, boyce_index, roc_auc, merged_metric, metrics_long, ensemble_mean,
         high_probability, ensemble_powerset, feature_corr, value_share, class_report,
         logit_fit, logit_score, linear_attribution, linear_importance, grid_search,
-        residual_mlp_score, residual_mlp_train, shapley, mlp_multiclass, ovr, calibrate,
+        residual_mlp_score, residual_mlp_train, shapley, mlp_multiclass, ovr, calibrate, enriched_records,
     )
 }
