@@ -362,10 +362,10 @@ BRITISH = (6377563.396, 6356256.909237285, 0.9996012717, 49.0, -2.0, 400000.0, -
 IRISH = (6377340.189, 6356034.447938534, 1.000035, 53.5, -8.0, 200000.0, 250000.0, (482.5, -130.6, 564.6), (-1.042, -0.214, -0.631), 8.15)
 
 
-def mlp() -> str:
+def mlp(shift: int = 0) -> str:
     """The fixed network written out as expressions, layer by layer."""
     def w(layer: int, i: int, j: int) -> float:
-        return ((i * 7 + j * 3 + layer * 5) % 11 - 5) / 4.0
+        return ((i * 7 + j * 3 + layer * 5 + shift) % 11 - 5) / 4.0
 
     def b(layer: int, j: int) -> float:
         return ((j * 3 + layer) % 5 - 2) / 8.0
@@ -379,7 +379,7 @@ def mlp() -> str:
     third = ", ".join(f"greatest({d(0.0)}, {unit(2, ['b0', 'b1', 'b2'], j)}) + b{j} AS c{j}" for j in range(3))
     z = unit(3, ["c0", "c1", "c2"], 0)
     return f"""
-SELECT row_id, round({d(1.0)} / ({d(1.0)} + exp(-({z}))), 6) AS p FROM (
+SELECT row_id, {d(1.0)} / ({d(1.0)} + exp(-({z}))) AS p FROM (
  SELECT row_id, {third} FROM (SELECT row_id, {second} FROM (SELECT row_id, {first} FROM ({FEATURES}))))"""
 
 
@@ -395,6 +395,21 @@ CLASS_CELLS = (
     "SELECT lang AS y, CASE WHEN n_chars < 500 THEN 'en' WHEN n_chars < 1500 THEN 'de' ELSE 'fr' END AS q FROM documents"
 )
 
+RESAMPLED = """
+WITH nodes AS (SELECT o_orderkey // 125 AS i, o_orderkey % 125 AS j, o_totalprice AS v FROM orders WHERE o_orderstatus <> 'P'),
+cells AS (SELECT DISTINCT i - a AS i, j - b AS j FROM nodes, range(2) q(a), range(2) r(b)),
+corner AS (SELECT c.i, c.j, f00.v AS f00, f10.v AS f10, f01.v AS f01, f11.v AS f11 FROM cells c
+  LEFT JOIN nodes f00 ON f00.i = c.i AND f00.j = c.j LEFT JOIN nodes f10 ON f10.i = c.i + 1 AND f10.j = c.j
+  LEFT JOIN nodes f01 ON f01.i = c.i AND f01.j = c.j + 1 LEFT JOIN nodes f11 ON f11.i = c.i + 1 AND f11.j = c.j + 1),
+halves AS (
+  SELECT i * 1000 AS x, j * 1000 AS y, f00 AS v FROM corner
+  UNION ALL SELECT i * 1000 + 500, j * 1000, (f00 + f10) / 2 FROM corner
+  UNION ALL SELECT i * 1000, j * 1000 + 500, (f00 + f01) / 2 FROM corner
+  UNION ALL SELECT i * 1000 + 500, j * 1000 + 500, CASE WHEN f00 + f10 + f01 + f11 IS NOT NULL THEN (f00 + f10 + f01 + f11) / 4
+     WHEN f00 IS NULL OR f11 IS NULL THEN (f10 + f01) / 2 ELSE (f00 + f11) / 2 END
+     FROM corner WHERE (f00 IS NULL)::INT + (f10 IS NULL)::INT + (f01 IS NULL)::INT + (f11 IS NULL)::INT <= 1)
+SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, round(v, 4) AS probability FROM halves WHERE v IS NOT NULL"""
+
 ORACLE: dict[str, str] = {
     "occurrence_clean": f"{CLEAN} AND y >= 1997",
     "occurrence_count_since": f"SELECT count(*) AS n FROM ({CLEAN}) WHERE year(\"eventDate\") >= 1999",
@@ -502,20 +517,10 @@ pts AS MATERIALIZED (SELECT a + i * {d(500.0)} AS x, b + j * {d(500.0)} AS y FRO
         WHERE i < ceil((c - a) / 500) AND j < ceil((e - b) / 500)),
 kept AS (SELECT 0 AS row_id, x, y FROM ({inside('SELECT x, y FROM pts')}))
 SELECT round(longitude, 7) AS longitude, round(latitude, 7) AS latitude FROM ({unprojection('SELECT * FROM kept')})""",
-    "resample_grid": f"""
-WITH nodes AS (SELECT o_orderkey // 125 AS i, o_orderkey % 125 AS j, o_totalprice AS v FROM orders WHERE o_orderstatus <> 'P'),
-cells AS (SELECT DISTINCT i - a AS i, j - b AS j FROM nodes, range(2) q(a), range(2) r(b)),
-corner AS (SELECT c.i, c.j, f00.v AS f00, f10.v AS f10, f01.v AS f01, f11.v AS f11 FROM cells c
-  LEFT JOIN nodes f00 ON f00.i = c.i AND f00.j = c.j LEFT JOIN nodes f10 ON f10.i = c.i + 1 AND f10.j = c.j
-  LEFT JOIN nodes f01 ON f01.i = c.i AND f01.j = c.j + 1 LEFT JOIN nodes f11 ON f11.i = c.i + 1 AND f11.j = c.j + 1),
-halves AS (
-  SELECT i * 1000 AS x, j * 1000 AS y, f00 AS v FROM corner
-  UNION ALL SELECT i * 1000 + 500, j * 1000, (f00 + f10) / 2 FROM corner
-  UNION ALL SELECT i * 1000, j * 1000 + 500, (f00 + f01) / 2 FROM corner
-  UNION ALL SELECT i * 1000 + 500, j * 1000 + 500, CASE WHEN f00 + f10 + f01 + f11 IS NOT NULL THEN (f00 + f10 + f01 + f11) / 4
-     WHEN f00 IS NULL OR f11 IS NULL THEN (f10 + f01) / 2 ELSE (f00 + f11) / 2 END
-     FROM corner WHERE (f00 IS NULL)::INT + (f10 IS NULL)::INT + (f01 IS NULL)::INT + (f11 IS NULL)::INT <= 1)
-SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, round(v, 4) AS probability FROM halves WHERE v IS NOT NULL""",
+    "resample_grid": RESAMPLED,
+    "probability_map": f"""
+WITH v AS MATERIALIZED ({RESAMPLED}) SELECT v.x, v.y, CASE WHEN i.x IS NOT NULL THEN probability END AS probability
+FROM v LEFT JOIN ({inside('SELECT x, y FROM v')}) i ON i.x = v.x AND i.y = v.y""",
     "hash_split": f"SELECT row_id, {TEST_ROW} AS is_test FROM (SELECT o_orderkey AS row_id FROM orders)",
     "scaler_fit": " UNION ALL ".join(
         f"SELECT '{c}' AS feature, round(avg(\"{c}\"), 6) AS mean, round(stddev_pop(\"{c}\"), 6) AS std FROM ({FEATURES}) WHERE NOT ({TEST_ROW})"
@@ -557,6 +562,19 @@ SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, roun
     + f"))), 6) AS p FROM ({FEATURES})",
     "linear_attribution": f"SELECT row_id, feature, round(value, 6) AS value FROM ({linear_values()})",
     "linear_importance": f"SELECT feature, round(avg(abs(value)), 6) AS importance FROM ({linear_values()}) GROUP BY feature ORDER BY avg(abs(value)) DESC, feature LIMIT 5",
-    "residual_mlp_score": mlp(),
+    "residual_mlp_score": f"SELECT row_id, round(p, 6) AS p FROM ({mlp()})",
+    "score_models": f"SELECT a.row_id, round((a.p + b.p) / 2, 6) AS probability FROM ({mlp()}) a JOIN ({mlp(2)}) b ON b.row_id = a.row_id",
+    "type_split": f"""
+SELECT {lat('o_orderkey')} AS "decimalLatitude", {lon('o_orderkey')} AS "decimalLongitude" FROM orders WHERE o_orderstatus = 'F'""",
+    "occurrence_files": f"""SELECT species, "decimalLatitude", "decimalLongitude", "eventDate" FROM ({CLEAN} AND y >= 1997)""",
+    "grid_counts": f"""
+WITH b AS (SELECT min(least(x1, x2)) AS a, min(least(y1, y2)) AS b, max(greatest(x1, x2)) AS c, max(greatest(y1, y2)) AS e FROM ({EDGES})),
+pts AS MATERIALIZED (SELECT a + i * {d(1000.0)} AS x, b + j * {d(1000.0)} AS y FROM b, range(500) xs(i), range(500) ys(j)
+        WHERE i < ceil((c - a) / 1000) AND j < ceil((e - b) / 1000))
+SELECT (SELECT count(*) FROM pts) AS points, (SELECT count(*) FROM ({inside('SELECT x, y FROM pts')})) AS inside""",
+    "points_in_box": f"""
+SELECT row_id FROM ({PLANAR}), (SELECT min(least(x1, x2)) AS a, min(least(y1, y2)) AS b, max(greatest(x1, x2)) AS c,
+  max(greatest(y1, y2)) AS e FROM ({EDGES}) WHERE poly_id IN ('NATION_1', 'NATION_2', 'NATION_5', 'NATION_9')) WHERE x BETWEEN a AND c AND y BETWEEN b AND e""",
     "enriched_records": enriched(),
 }
+ORACLE["saved_scaler"] = ORACLE["scaler_apply"]

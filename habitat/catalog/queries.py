@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -15,7 +16,9 @@ from habitat.functions import geo, losses, spectral
 from habitat.functions.projection import bng_to_wgs84, to_bng, to_irish_grid
 from habitat.learning import attribution, logit, mlp, multiclass
 from habitat.operators import cleaning, encoding, grid, lookup, metrics, polygons, radius, raster, roads, scenes, splits
-from habitat.plans import enrich
+from habitat.plans import enrich, score_grid
+from habitat.session import shared_folder
+from habitat.sources import tables
 
 REQUEST = {
     "predicate": {
@@ -88,6 +91,25 @@ def numeric_cast(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.to_numeric(orders, ["level", "text"])
 
 
+def type_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Coordinates of the presence side of a labelled table."""
+    orders = I.table(spark, sf, "orders")
+    kind = F.when(F.col("o_orderstatus") == "F", "presence").otherwise("background").alias("type")
+    return enrich.coordinates_only(orders.select(kind, *I.place("o_orderkey")), "presence")
+
+
+def occurrence_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw records as two tab-separated files with their own headers, read and cleaned."""
+    folder = f"{shared_folder(spark)}/occurrences-{uuid.uuid4().hex}"
+    raw = I.raw_occurrences(spark, sf).drop("row_id")
+    present = F.col("occurrenceStatus") == "PRESENT"
+    paths = []
+    for name, part in (("a", raw.filter(present)), ("b", raw.filter(~present).select(*sorted(raw.columns)))):
+        paths.append(f"{folder}/{name}")
+        part.write.option("sep", "\t").option("header", True).csv(paths[-1])
+    return cleaning.clean_occurrences(tables.read_occurrences(spark, paths), min_year=1997)
+
+
 def bounds(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.bounds(I.records(spark, sf), "decimalLongitude", "decimalLatitude")
 
@@ -246,6 +268,28 @@ def national_grid(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.round("longitude", 7).alias("longitude"), F.round("latitude", 7).alias("latitude"))
 
 
+def grid_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Lattice points before and after the polygon filter."""
+    edges = I.polygon_edges(spark, sf)
+    points = grid.lattice(spark, grid.edge_extent(edges), 1000.0)
+    inside = polygons.points_within(points, edges)
+    return points.agg(F.count("*").alias("points")).withColumn("inside", inside.agg(F.count("*")).scalar())
+
+
+def points_in_box(spark: SparkSession, sf: str) -> DataFrame:
+    """Points within the extent of four named polygons."""
+    edges = polygons.load_polygon_edges(I.polygon_edges(spark, sf), [f"NATION_{i}" for i in (1, 2, 5, 9)])
+    a, b, c, e = (F.lit(v) for v in grid.edge_extent(edges))
+    points = I.planar_points(spark, sf)
+    return points.filter(geo.within_box(F.col("x"), F.col("y"), a, b, c, e)).select("row_id")
+
+
+def probability_map(spark: SparkSession, sf: str) -> DataFrame:
+    """Finer map of the lattice values, null outside the polygons."""
+    out = polygons.mask_outside(grid.resample_grid(I.lattice_values(spark, sf)), I.polygon_edges(spark, sf))
+    return out.select("x", "y", F.round("probability", 4).alias("probability"))
+
+
 def resample_grid(spark: SparkSession, sf: str) -> DataFrame:
     out = grid.resample_grid(I.lattice_values(spark, sf))
     return out.select("x", "y", F.round("probability", 4).alias("probability"))
@@ -268,6 +312,15 @@ def scaler_apply(spark: SparkSession, sf: str) -> DataFrame:
     return scaled.select("row_id", *[F.round(c, 6).alias(c) for c in ENV_VARS])
 
 
+def saved_scaler(spark: SparkSession, sf: str) -> DataFrame:
+    """The scaler written, read back and applied."""
+    rows = splits.split_rows(I.features(spark, sf))
+    path = f"{shared_folder(spark)}/scaler-{uuid.uuid4().hex}"
+    tables.save_scaler(splits.fit_scaler(rows.filter(~F.col("is_test"))), path)
+    scaled = splits.apply_scaler(rows, tables.load_scaler(spark, path))
+    return scaled.select("row_id", *[F.round(c, 6).alias(c) for c in ENV_VARS])
+
+
 def boyce_index(spark: SparkSession, sf: str) -> DataFrame:
     out = metrics.boyce_index(I.order_scores(spark, sf), by=["species"])
     return out.select("species", F.round("boyce", 6).alias("boyce"))
@@ -355,15 +408,22 @@ def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     return table
 
 
-def fixed_network() -> mlp.Network:
+def fixed_network(shift: int = 0) -> mlp.Network:
     """Small network with weights from a rule, for scoring against SQL."""
     def matrix(rows: int, cols: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
         i, j = np.indices((rows, cols))
-        return ((i * 7 + j * 3 + layer * 5) % 11 - 5) / 4.0, ((np.arange(cols) * 3 + layer) % 5 - 2) / 8.0
+        return ((i * 7 + j * 3 + layer * 5 + shift) % 11 - 5) / 4.0, ((np.arange(cols) * 3 + layer) % 5 - 2) / 8.0
 
     return mlp.Network([matrix(9, 3, 0), matrix(3, 3, 1), matrix(3, 3, 2), matrix(3, 1, 3)])
 
 
+def score_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Two networks in one pass, and their mean."""
+    nets = {"m1": fixed_network(), "m2": fixed_network(2)}
+    out = score_grid.score_grid(I.features(spark, sf), nets, ENV_VARS, ("m1", "m2"))
+    return out.select("row_id", F.round("probability", 6).alias("probability"))
+
+
 def residual_mlp_score(spark: SparkSession, sf: str) -> DataFrame:
     out = mlp.score_residual_mlp(I.features(spark, sf), fixed_network(), ENV_VARS)
     return out.select("row_id", F.round("p", 6).alias("p"))
@@ -433,14 +493,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         occurrence_clean, occurrence_count_since, operational_sites, predicate_filter, dedup_union_label,
-        one_hot_flags, one_hot_decode, one_hot_drop_first, numeric_cast, bounds, sample_rows, first_rows,
+        one_hot_flags, one_hot_decode, one_hot_drop_first, numeric_cast, type_split, occurrence_files, bounds, sample_rows, first_rows,
         spectral_indices, aoi_boxes, tiles, loss_columns, to_bng_grid, to_irish, from_bng_grid,
         radius_month_flags, flagged_share_by_month, site_radius_flag, lookup_first, attach_results,
         least_cloudy_scene, least_cloudy_anywhere, aoi_mean, aoi_mean_of_bands, lst_mean, nearest_segment,
-        raster_point, raster_window_mode, points_in_polygon, masked_grid, lattice, national_grid, resample_grid,
-        hash_split, scaler_fit, scaler_apply, boyce_index, roc_auc, merged_metric, metrics_long, ensemble_mean,
+        raster_point, raster_window_mode, points_in_polygon, masked_grid, lattice, national_grid, grid_counts, points_in_box,
+        resample_grid, probability_map,
+        hash_split, scaler_fit, scaler_apply, saved_scaler, boyce_index, roc_auc, merged_metric, metrics_long, ensemble_mean,
         high_probability, ensemble_powerset, feature_corr, value_share, class_report,
         logit_fit, logit_score, linear_attribution, linear_importance, grid_search,
-        residual_mlp_score, residual_mlp_train, shapley, mlp_multiclass, ovr, calibrate, enriched_records,
+        score_models, residual_mlp_score, residual_mlp_train, shapley, mlp_multiclass, ovr, calibrate, enriched_records,
     )
 }

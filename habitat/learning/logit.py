@@ -71,12 +71,12 @@ def linear_logit(weights: list[float], intercept: float, features: list[str]) ->
 
 def linear_attribution(df: DataFrame, weights: list[float], features: list[str], key: str = "row_id") -> DataFrame:
     """Exact attribution of a linear logit: ``w_j * (x_j - mean_j)``, one row per feature."""
-    means = df.agg(*[F.avg(f"`{f}`").alias(f"_m_{i}") for i, f in enumerate(features)])
+    means = df.agg(F.array(*[F.avg(f"`{f}`") for f in features])).scalar()
     parts = [
-        F.struct(F.lit(f).alias("feature"), (F.lit(float(w)) * (F.col(f"`{f}`") - F.col(f"_m_{i}"))).alias("value"))
+        F.struct(F.lit(f).alias("feature"), (F.lit(float(w)) * (F.col(f"`{f}`") - F.col("_means")[i])).alias("value"))
         for i, (f, w) in enumerate(zip(features, weights))
     ]
-    return df.crossJoin(means).select(key, F.explode(F.array(*parts)).alias("a")).select(key, "a.feature", "a.value")
+    return df.withColumn("_means", means).select(key, F.explode(F.array(*parts)).alias("a")).select(key, "a.feature", "a.value")
 
 
 def expand_grid(grid: dict[str, list] = LOGIT_GRID) -> list[LogitParams]:

@@ -12,14 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Score buckets per power of two; see _bucket.
-BUCKETS = 4096
+BUCKETS = 1 << 20
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """Join on group columns; with no groups the right side is a single row."""
-    if not by:
-        return left.crossJoin(right)
-    return left.join(right, by, how)
+def _with_groups(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Join on group columns; with no groups the single right row is a scalar subquery."""
+    if by:
+        return left.join(right, by)
+    names = right.columns
+    row = right.select(F.struct(*names).alias("_row")).scalar()
+    return left.withColumn("_row", row).select(*left.columns, *[F.col(f"_row.{n}").alias(n) for n in names])
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -52,7 +54,7 @@ def boyce_index(df: DataFrame, p: str = "p", label: str = "label", bins: int = 1
     def edge(i: Column) -> Column:
         return F.when(i == bins, F.col("_hi")).otherwise(F.col("_lo") + i * F.col("_step"))
 
-    scored = _null_safe_join(counts, range_, by)
+    scored = _with_groups(counts, range_, by)
     guess = F.floor((F.col("_p") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(bins)))
     guess = F.when(F.col("_hi") > F.col("_lo"), F.least(guess, F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
     scored = scored.withColumn("_g", guess)
@@ -83,23 +85,34 @@ def boyce_index(df: DataFrame, p: str = "p", label: str = "label", bins: int = 1
     return out.select(*by, value.alias("boyce"))
 
 
+def _place(size: Column) -> Column:
+    """Order-preserving bucket of a size: straight lines between powers of two."""
+    power = F.floor(F.log2(F.greatest(size, F.lit(1e-300))))
+    place = (power + 1000.0) * BUCKETS + F.floor((size / F.pow(F.lit(2.0), power) - 1.0) * BUCKETS)
+    return F.when(size < 1e-300, F.lit(0)).otherwise(place).cast("long")
+
+
 def _bucket(p: Column) -> Column:
-    """Order-preserving bucket of a score, fine everywhere on the scale.
+    """Order-preserving bucket of a score, fine near 0 and near 1 alike.
 
-    Straight lines between powers of two: equal scores share a bucket, a larger
-    score never gets a smaller one, and the relative width is 1 / BUCKETS.
+    Equal scores share a bucket and a larger score never gets a smaller one. Scores
+    that crowd at either end of the scale of probabilities still spread.
     """
-    size = F.abs(p)
-    power = F.floor(F.log2(F.greatest(size, F.lit(1e-300))))
-    place = (power + 1000.0) * BUCKETS + F.floor((size / F.pow(F.lit(2.0), power) - 1.0) * BUCKETS)
-    return F.when(size < 1e-300, F.lit(0)).when(p > 0, place).otherwise(-place).cast("long")
+    middle = 2 * 999 * BUCKETS
+    return (
+        F.when(p < 0, -_place(-p))
+        .when(p <= 0.5, _place(p))
+        .when(p <= 1, F.lit(middle) - _place(F.lit(1.0) - p))
+        .otherwise(F.lit(middle) + _place(p))
+    )
 
 
 def roc_auc(df: DataFrame, p: str = "p", label: str = "label", by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve per group, as column ``auc``; ties count one half.
 
     A group with one class only gives 0. Background counts below a score are built
-    up from bucket totals and from the scores within the same bucket.
+    up in three levels: coarse buckets, the buckets of one coarse bucket, and the
+    scores of one bucket.
     """
     by = list(by or [])
     score = F.col(p).cast("double")
@@ -111,13 +124,20 @@ def roc_auc(df: DataFrame, p: str = "p", label: str = "label", by: list[str] | N
             F.sum((F.col(label) == 0).cast("long")).alias("_zero"),
         )
         .withColumn("_b", _bucket(F.col("_p")))
+        .withColumn("_c", F.floor(F.col("_b") / 1024))
     )
-    totals = counts.groupBy(*by, "_b").agg(F.sum("_zero").alias("_z"))
-    below = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "_b", F.coalesce(F.sum("_z").over(below), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*by, "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("_before", F.coalesce(F.sum("_zero").over(inside), F.lit(0))).join(totals, [*by, "_b"])
-    wins = F.col("_one") * (F.col("_base") + F.col("_before") + F.col("_zero") / 2)
+
+    def before(value: str, group: list[str], order: str) -> Column:
+        window = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(value).over(window), F.lit(0))
+
+    buckets = counts.groupBy(*by, "_c", "_b").agg(F.sum("_zero").alias("_z"))
+    coarse = buckets.groupBy(*by, "_c").agg(F.sum("_z").alias("_zc"))
+    coarse = coarse.select(*by, "_c", before("_zc", by, "_c").alias("_base"))
+    buckets = buckets.select(*by, "_c", "_b", before("_z", [*by, "_c"], "_b").alias("_inner")).join(coarse, [*by, "_c"])
+    ranked = counts.withColumn("_before", before("_zero", [*by, "_b"], "_p")).drop("_c")
+    ranked = ranked.join(buckets.drop("_c"), [*by, "_b"])
+    wins = F.col("_one") * (F.col("_base") + F.col("_inner") + F.col("_before") + F.col("_zero") / 2)
     out = ranked.groupBy(*by).agg(F.sum(wins).alias("_w"), F.sum("_one").alias("_o"), F.sum("_zero").alias("_n"))
     pairs = F.col("_o").cast("double") * F.col("_n")
     return out.select(*by, F.coalesce(F.try_divide(F.col("_w"), pairs), F.lit(0.0)).alias("auc"))
@@ -133,7 +153,7 @@ def merged_metric(df: DataFrame, auc: str = "auc", boyce: str = "boyce") -> Data
 
 def evaluate(df: DataFrame, p: str = "p", label: str = "label", by: list[str] | None = None) -> DataFrame:
     by = list(by or [])
-    return merged_metric(_null_safe_join(roc_auc(df, p, label, by), boyce_index(df, p, label, by=by), by))
+    return merged_metric(_with_groups(roc_auc(df, p, label, by), boyce_index(df, p, label, by=by), by))
 
 
 def ensemble_mean(scores: DataFrame, key: list[str], p: str = "p", name: str = "probability") -> DataFrame:
@@ -187,8 +207,8 @@ def corr_with(df: DataFrame, target: str = "probability", columns: list[str] | N
 def value_share(df: DataFrame, column: str) -> DataFrame:
     """Rows and percentage per value."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("_all"))
-    return counts.crossJoin(total).select(column, "n", (F.col("n") * 100.0 / F.col("_all")).alias("share"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select(column, "n", (F.col("n") * 100.0 / total).alias("share"))
 
 
 def classification_report(df: DataFrame, label: str = "label", predicted: str = "prediction") -> DataFrame:

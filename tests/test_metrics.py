@@ -33,6 +33,8 @@ def cases():
     yield "spread", [(rng.random(), int(rng.random() < 0.4)) for _ in range(300)]
     yield "tied", [(round(rng.random(), 1), int(rng.random() < 0.4)) for _ in range(300)]
     yield "tiny", [(10 ** rng.uniform(-12, 0), int(rng.random() < 0.5)) for _ in range(200)]
+    yield "ends", [(abs((k % 2) - 10.0 ** -rng.uniform(6, 16)), int(rng.random() < 0.5)) for k in range(200)]
+    yield "above_one", [(rng.uniform(0.4, 9), int(rng.random() < 0.5)) for _ in range(200)]
     yield "near_one", [(1 - 10 ** rng.uniform(-12, 0), int(rng.random() < 0.5)) for _ in range(200)]
     yield "signed", [(rng.gauss(0, 1), int(rng.random() < 0.5)) for _ in range(200)] + [(0.0, 1), (-0.0, 0)]
     yield "powers", [(2.0 ** k, k % 2) for k in range(-20, 20)] * 2
@@ -68,6 +70,9 @@ def test_auc_equals_built_in_evaluator(spark):
 
 
 def test_merged(spark):
+    df = spark.createDataFrame([(0.9, 1), (0.2, 1), (0.1, 0), (0.6, 0)], ["p", "label"])
+    one = metrics.evaluate(df).first()
+    assert one.auc == 0.75 and one.auc_norm == 0.5
     row = metrics.merged_metric(spark.createDataFrame([(0.75, 0.5)], ["auc", "boyce"])).first()
     assert (row.auc_norm, row.boyce_norm, row.mixed) == (0.5, 0.75, 0.625)
 
@@ -109,4 +114,4 @@ def test_no_window_spans_a_group_of_raw_scores(spark):
     df = spark.createDataFrame([("g", 0.1, 1), ("g", 0.2, 0)], ["g", "p", "label"])
     plan = metrics.roc_auc(df, by=["g"])._jdf.queryExecution().optimizedPlan().toString()
     specs = [line for line in plan.splitlines() if "Window" in line]
-    assert len(specs) == 2 and all("_b#" in line for line in specs)
+    assert len(specs) == 3 and all("_b#" in line or "_c#" in line for line in specs)
