@@ -40,10 +40,19 @@ def _estimator(params: LogitParams, rows: int, weighted: bool) -> LogisticRegres
     return lr.setWeightCol("weight") if weighted else lr
 
 
-def fit_logit(df: DataFrame, features: list[str], params: LogitParams = LogitParams(), label: str = "label") -> LogisticRegressionModel:
-    """Fit on standardised features; the penalty is scaled to the mean loss."""
+def fit_logit(
+    df: DataFrame,
+    features: list[str],
+    params: LogitParams = LogitParams(),
+    label: str = "label",
+    counts: dict[int, int] | None = None,
+) -> LogisticRegressionModel:
+    """Fit on standardised features; the penalty is scaled to the mean loss.
+
+    ``counts`` are the rows per class, if they are known already.
+    """
     data = assemble(df.withColumn("label", F.col(label).cast("double")), features)
-    counts = class_counts(df, label)
+    counts = counts or class_counts(df, label)
     rows = sum(counts.values())
     weighted = params.class_weight == "balanced"
     if weighted:
@@ -104,11 +113,18 @@ def grid_search(
     data = fold_column(df.select(key, label, *features), key, folds).persist()
     try:
         jobs = [(i, f) for i in range(len(settings)) for f in range(folds)]
+        sizes = data.groupBy("fold", label).agg(F.count("*").alias("n")).collect()
+
+        def fit(job: tuple[int, int]) -> tuple[list[float], float]:
+            setting, fold = job
+            counts: dict[int, int] = {}
+            for r in sizes:
+                if r["fold"] != fold:
+                    counts[int(r[label])] = counts.get(int(r[label]), 0) + r["n"]
+            return coefficients(fit_logit(data.filter(F.col("fold") != fold), features, settings[setting], label, counts))
+
         with ThreadPool(parallelism) as pool:
-            models = pool.map(
-                lambda job: coefficients(fit_logit(data.filter(F.col("fold") != job[1]), features, settings[job[0]], label)),
-                jobs,
-            )
+            models = pool.map(fit, jobs)
         held_out = []
         for fold in range(folds):
             probabilities = F.array(

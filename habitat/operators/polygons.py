@@ -80,7 +80,9 @@ def _inside_places(df: DataFrame, edges: DataFrame, x: str, y: str, cell: float)
         .distinct()
         .withColumns({"cx": F.floor(F.col("_px") / size).cast("int"), "cy": F.floor(F.col("_py") / size).cast("int")})
     )
-    items = _polygon_items(edges.select("poly_id", *ENDS), cell)
+    # Copies of an edge cancel in pairs.
+    odd = edges.groupBy("poly_id", *ENDS).agg(F.count("*").alias("_n")).filter(F.col("_n") % 2 == 1).drop("_n")
+    items = _polygon_items(odd, cell)
     flips = F.when(F.col("x1").isNull(), F.lit(1)).otherwise(_crossings(F.col("_px"), F.col("_py"), cell))
     return (
         places.join(items, ["cx", "cy"])
