@@ -9,10 +9,12 @@ cells, however detailed the polygon is.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from habitat.operators.roads import ENDS, segment_cells
+from habitat.operators.roads import ENDS, LEVELS, segment_cells
 
 # Place of the reference point in its cell; uneven, so that round vertices miss it.
 REF_X, REF_Y = 0.41421356, 0.57735027
@@ -71,7 +73,41 @@ def _crossings(px: Column, py: Column, cell: float) -> Column:
     return F.coalesce(upright, F.lit(False)).cast("int") + F.coalesce(level, F.lit(False)).cast("int")
 
 
-def _inside_places(df: DataFrame, edges: DataFrame, x: str, y: str, cell: float) -> DataFrame:
+def _odd(points: DataFrame, items: DataFrame, cell: float, keys: list[str]) -> DataFrame:
+    """``keys`` and ``poly_id`` of the points (``_px``, ``_py`` in ``cx``, ``cy``) inside a polygon."""
+    flips = F.when(F.col("x1").isNull(), F.lit(1)).otherwise(_crossings(F.col("_px"), F.col("_py"), cell))
+    return (
+        points.join(items, ["cx", "cy"])
+        .groupBy(*keys, "poly_id")
+        .agg(F.sum(flips).alias("_flips"))
+        .filter(F.col("_flips") % 2 == 1)
+        .select(*keys, "poly_id")
+    )
+
+
+def _finer(places: DataFrame, items: DataFrame, hot: DataFrame, cell: float) -> tuple[DataFrame, DataFrame]:
+    """Cut crowded cells into 8 x 8; the smaller cells' reference points are tested like places."""
+    fine = cell / 8
+    items = items.join(hot, ["cx", "cy"])
+    refs = hot.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumns(
+        {"fx": F.col("cx") * 8 + F.pmod("_k", F.lit(8)), "fy": F.col("cy") * 8 + F.floor(F.col("_k") / 8).cast("int")}
+    )
+    refs = refs.withColumns({"_px": (F.col("fx") + REF_X) * F.lit(fine), "_py": (F.col("fy") + REF_Y) * F.lit(fine)})
+    inside = _odd(refs, items, cell, ["fx", "fy"]).select(
+        "poly_id", F.col("fx").alias("cx"), F.col("fy").alias("cy"), *[F.lit(None).cast("double").alias(c) for c in ENDS]
+    )
+    edges = items.filter(F.col("x1").isNotNull()).select("poly_id", *ENDS, F.col("cx").alias("ox"), F.col("cy").alias("oy"))
+    passing = segment_cells(edges, fine, within=("ox", "oy")).select("poly_id", "cx", "cy", *ENDS)
+
+    def child(value: str, outer: str) -> Column:
+        index = F.floor(F.col(value) / F.lit(fine)).cast("int")
+        return F.least(F.greatest(index, F.col(outer) * 8), F.col(outer) * 8 + 7)
+
+    places = places.join(hot, ["cx", "cy"]).select("_px", "_py", child("_px", "cx").alias("cx"), child("_py", "cy").alias("cy"))
+    return places, inside.unionByName(passing)
+
+
+def _inside_places(df: DataFrame, edges: DataFrame, x: str, y: str, cell: float, crowded: int) -> DataFrame:
     """Distinct places of ``df`` that lie in at least one polygon."""
     size = F.lit(float(cell))
     places = (
@@ -83,28 +119,42 @@ def _inside_places(df: DataFrame, edges: DataFrame, x: str, y: str, cell: float)
     # Copies of an edge cancel in pairs.
     odd = edges.groupBy("poly_id", *ENDS).agg(F.count("*").alias("_n")).filter(F.col("_n") % 2 == 1).drop("_n")
     items = _polygon_items(odd, cell)
-    flips = F.when(F.col("x1").isNull(), F.lit(1)).otherwise(_crossings(F.col("_px"), F.col("_py"), cell))
-    return (
-        places.join(items, ["cx", "cy"])
-        .groupBy("_px", "_py", "poly_id")
-        .agg(F.sum(flips).alias("_flips"))
-        .filter(F.col("_flips") % 2 == 1)
-        .select("_px", "_py")
-        .distinct()
-    )
-
+    found = []
+    for depth in range(LEVELS):
+        # Looking is one aggregation over the edges; going on is rare.
+        hot = items.groupBy("cx", "cy").agg(F.count("*").alias("_n")).filter(F.col("_n") > crowded).select("cx", "cy")
+        deeper = depth < LEVELS - 1 and not hot.isEmpty()
+        settled = places.join(hot, ["cx", "cy"], "left_anti") if deeper else places
+        found.append(_odd(settled, items, cell, ["_px", "_py"]))
+        if not deeper:
+            break
+        places, items = _finer(places, items, hot, cell)
+        cell = cell / 8
+    return reduce(DataFrame.unionByName, found).select("_px", "_py").distinct()
+
+
+def points_within(
+    df: DataFrame, edges: DataFrame, x: str = "x", y: str = "y", cell: float = 1000.0, crowded: int = 1024
+) -> DataFrame:
+    """Rows of ``df`` inside any polygon. Edges: ``poly_id, x1, y1, x2, y2``.
 
-def points_within(df: DataFrame, edges: DataFrame, x: str = "x", y: str = "y", cell: float = 1000.0) -> DataFrame:
-    """Rows of ``df`` inside any polygon. Edges: ``poly_id, x1, y1, x2, y2``."""
-    inside = _inside_places(df, edges, x, y, cell)
+    Cells with more than ``crowded`` edges are cut into 8 x 8, as often as needed.
+    """
+    inside = _inside_places(df, edges, x, y, cell, crowded)
     return df.join(inside, (F.col(x) == F.col("_px")) & (F.col(y) == F.col("_py")), "left_semi")
 
 
 def mask_outside(
-    df: DataFrame, edges: DataFrame, column: str = "probability", x: str = "x", y: str = "y", cell: float = 1000.0
+    df: DataFrame,
+    edges: DataFrame,
+    column: str = "probability",
+    x: str = "x",
+    y: str = "y",
+    cell: float = 1000.0,
+    crowded: int = 1024,
 ) -> DataFrame:
     """Keep every row; ``column`` becomes null outside the polygons."""
-    inside = _inside_places(df, edges, x, y, cell).withColumn("_inside", F.lit(True))
+    inside = _inside_places(df, edges, x, y, cell, crowded).withColumn("_inside", F.lit(True))
     joined = df.join(inside, (F.col(x) == F.col("_px")) & (F.col(y) == F.col("_py")), "left")
     masked = F.when(F.col("_inside"), F.col(column)).alias(column)
     return joined.select(*[masked if c == column else F.col(c) for c in df.columns])
