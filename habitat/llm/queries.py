@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from habitat.llm import mixing
+from habitat.llm import mixing, quality, secrets
 from habitat.llm.common import read
 
 
+def op1_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.secret_report(read(spark, sf, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_report(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op7_mix_sources": op7_mix_sources,
+    "op10_quality": op10_quality,
 }
