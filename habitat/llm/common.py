@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def slices(batch: pa.RecordBatch, text: str | None, most: int = SLICE_BYTES) ->
     if text is None:
         yield batch
         return
-    sizes = np.asarray(pa.compute.binary_length(batch.column(text)).fill_null(0), dtype=np.int64)
+    sizes = np.asarray(pc.binary_length(batch.column(text)).fill_null(0), dtype=np.int64)
     part = (np.cumsum(sizes) - sizes) // most
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:]):
