@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from habitat.llm import mixing, quality, secrets
+from habitat.llm import ann, bpe, mixing, near_dedup, quality, secrets, sharding, topk, toxicity
 from habitat.llm.common import read
 
 
@@ -14,16 +14,48 @@ def op1_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.secret_report(read(spark, sf, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf, "documents"), width=3, percent=85)
+
+
+def op3_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    table = read(spark, sf, "embeddings")
+    return ann.nearest(table, table.filter("vec_id % 100 = 0"))
+
+
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity_report(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+def op5_top_products(spark: SparkSession, sf: str) -> DataFrame:
+    table = read(spark, sf, "embeddings")
+    return topk.top_products(table, table.filter("vec_id % 50 = 0"))
+
+
 def op7_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.digests(bpe.encode(read(spark, sf, "documents")))
+
+
+def op9_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.shard_report(read(spark, sf, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_report(read(spark, sf, "documents"), read(spark, sf, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_near_duplicates": op2_near_duplicates,
+    "op3_nearest": op3_nearest,
+    "op4_toxicity": op4_toxicity,
+    "op5_top_products": op5_top_products,
     "op7_mix_sources": op7_mix_sources,
+    "op8_bpe": op8_bpe,
+    "op9_shards": op9_shards,
     "op10_quality": op10_quality,
 }
