@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from habitat.llm import ann, bpe, mixing, near_dedup, quality, secrets, sharding, topk, toxicity
+from habitat.llm import ann, bpe, mixing, near_dedup, quality, secrets, sharding, suffix_dedup, topk, toxicity
 from habitat.llm.common import read
 
 
@@ -32,6 +32,10 @@ def op5_top_products(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_products(table, table.filter("vec_id % 50 = 0"))
 
 
+def op6_remove_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf, "documents")).drop("kept")
+
+
 def op7_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_nearest": op3_nearest,
     "op4_toxicity": op4_toxicity,
     "op5_top_products": op5_top_products,
+    "op6_remove_repeats": op6_remove_repeats,
     "op7_mix_sources": op7_mix_sources,
     "op8_bpe": op8_bpe,
     "op9_shards": op9_shards,
