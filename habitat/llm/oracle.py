@@ -29,12 +29,12 @@ FROM s JOIN b ON s.source IS NOT DISTINCT FROM b.source LEFT JOIN e ON s.source
 
 OP5 = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS w
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (
-  SELECT q.vec_id AS query_id, c.vec_id, max(list_sum(list_transform(list_zip(q.w, c.w), z -> z[1] * z[2])))::BIGINT AS score
+  SELECT q.vec_id AS query_id, c.vec_id, max(list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2])))::BIGINT AS score
   FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.w) = len(q.w) WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, c.vec_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM p QUALIFY rank <= 5
