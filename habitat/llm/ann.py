@@ -83,10 +83,12 @@ def _search(members: DataFrame, asked: DataFrame, k: int, parts: DataFrame) -> D
     def run(have: pa.Table, want: pa.Table) -> pa.Table:
         if not have.num_rows or not want.num_rows:
             return schema.empty_table()
-        x, ids = matrix(have.column("v")), have.column("vec_id").to_numpy()
-        out = []
+        have = have.sort_by("vec_id")
+        x, ids, out = matrix(have.column("v")), have.column("vec_id").to_numpy(), []
+        first = np.flatnonzero(np.append(True, np.diff(ids) != 0))
+        ids = ids[first]
         for q, query in zip(want.column("vec_id").to_pylist(), matrix(want.column("v"))):
-            score = np.sqrt(((x - query) ** 2).sum(axis=1))
+            score = np.minimum.reduceat(np.sqrt(((x - query) ** 2).sum(axis=1)), first)
             other = np.flatnonzero(ids != q)
             if len(other) > k:
                 other = other[score[other] <= np.partition(score[other], k - 1)[k - 1]]

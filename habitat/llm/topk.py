@@ -27,6 +27,7 @@ class Segments:
     def __init__(self, x: np.ndarray, ids: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         self.x, self.ids = x[order], ids[order]
+        self.first = np.flatnonzero(np.append(True, np.diff(self.ids) != 0))
         n, dims = x.shape
         starts, ends, values, dim, postings = [], [], [], [], []
         for d in range(dims):
@@ -66,8 +67,10 @@ class Segments:
             # Gains fall along the order, so the first segment left of each dimension is the most it can still give.
             ahead = np.zeros(dims)
             np.maximum.at(ahead, self.dim[left], gain[left])
-            rivals = acc[other]
+            # The vectors of one id count once.
+            rivals = np.maximum.reduceat(np.where(other, acc, -1.0), self.first)
             if len(rivals) <= k:
+                possible = other
                 break
             bar = np.partition(rivals, len(rivals) - k)[len(rivals) - k]
             possible = other & (acc + ahead.sum() >= bar)
@@ -75,7 +78,8 @@ class Segments:
                 break
         rows = np.flatnonzero(possible)
         score = self.x[rows] @ query
-        top = np.lexsort((self.ids[rows], -score))[:k]
+        top = np.lexsort((self.ids[rows], -score))
+        top = top[np.sort(np.unique(self.ids[rows[top]], return_index=True)[1])[:k]]
         return self.ids[rows[top]], score[top]
 
 
