@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from habitat.session import cut_lineage
 
@@ -35,10 +36,10 @@ def fold(doc_id: str, parts: int) -> Column:
 
 
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None],
-               schema: str, text: str | None = "text") -> DataFrame:
+               schema: str | T.StructType, text: str | None = "text") -> DataFrame:
     """Apply ``fn`` to Arrow batches cut so that each holds about ``SLICE_BYTES`` of ``text``.
 
-    A single row longer than that makes a batch of its own.
+    A single row longer than that makes a batch of its own. A StructType as ``schema`` keeps the names of all columns.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +53,12 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordB
                 else:
                     yield from out
 
-    return df.mapInArrow(run, schema)
+    if not isinstance(schema, T.StructType):
+        return df.mapInArrow(run, schema)
+    # Names with dots would be taken apart on the way.
+    plain = [c.replace(".", "\0") for c in df.columns]
+    inner = T.StructType([T.StructField(f.name.replace(".", "\0"), f.dataType) for f in schema])
+    return df.toDF(*plain).mapInArrow(run, inner).toDF(*schema.names)
 
 
 def slices(batch: pa.RecordBatch, text: str | None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
