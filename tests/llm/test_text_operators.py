@@ -179,7 +179,8 @@ def test_repeats_of_odd_rows(odd, empty):
 
 
 def test_texts_that_share_an_id_stand_one_after_another(spark):
-    text = "".join(random.Random(1).choice("abc") for _ in range(300))
+    rng = random.Random(1)
+    text = "".join(rng.choice("abc") for _ in range(300))
     rows = [(1, text), (1, "x" + text), (2, text), (None, text)]
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.n_removed for r in got if r.doc_id == 1) == [0, 300]
@@ -187,7 +188,8 @@ def test_texts_that_share_an_id_stand_one_after_another(spark):
 
 
 def test_chunks_of_long_texts(monkeypatch):
-    data = "".join(random.Random(3).choice("abcd") for _ in range(5000)).encode()
+    rng = random.Random(3)
+    data = "".join(rng.choice("abcd") for _ in range(5000)).encode()
     whole = suffix_dedup.anchors(data)
     monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
     parts = suffix_dedup.anchors(data)
