@@ -16,6 +16,18 @@ from habitat.operators.raster import RasterMeta
 MODELS = ["m1", "m2", "m3", "m4"]
 BAND_PRIMES = {"b2": 7919, "b3": 104729, "b4": 1299709, "b8": 15485863, "b11": 32452843}
 
+#: Parts of the 64 embedding values, by number of parts; the last one takes the rest.
+BLOCKS = {n: [(i * (64 // n), 64 if i == n - 1 else (i + 1) * (64 // n)) for i in range(n)] for n in (9, 4)}
+
+
+def block_mean(i: int, blocks: int) -> Column:
+    """Mean of the ``i``-th of ``blocks`` parts of an embedding."""
+    start, end = BLOCKS[blocks][i]
+    total = F.col("embedding")[start].cast("double")
+    for k in range(start + 1, end):
+        total = total + F.col("embedding")[k].cast("double")
+    return total / F.lit(float(end - start))
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -206,8 +218,8 @@ def polygon_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
-    """Embeddings as the nine environmental columns with a 0/1 label."""
-    columns = [F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(ENV_VARS)]
+    """Embeddings, in means of nine parts, as the environmental columns with a 0/1 label."""
+    columns = [block_mean(i, len(ENV_VARS)).alias(c) for i, c in enumerate(ENV_VARS)]
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("row_id"), F.when(F.col("label") < 3, 1).otherwise(0).alias("label"), *columns
     )
@@ -215,7 +227,7 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
 
 def class_features(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings with the original label as the species name."""
-    columns = [F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(ENV_VARS)]
+    columns = [block_mean(i, len(ENV_VARS)).alias(c) for i, c in enumerate(ENV_VARS)]
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("row_id"), F.concat(F.lit("species_"), F.col("label").cast("string")).alias("species"), *columns
     )
@@ -224,7 +236,7 @@ def class_features(spark: SparkSession, sf: str) -> DataFrame:
 def model_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Four scores per embedding, one column per model."""
     picks = [
-        F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("embedding")[i + 1].cast("double") * -5.0)), 6).alias(m)
+        F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(block_mean(i, len(MODELS)) * -20.0)), 6).alias(m)
         for i, m in enumerate(MODELS)
     ]
     return table(spark, sf, "embeddings").select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from habitat.config import ENV_VARS, LAND_COVER
 
 MODELS = ["m1", "m2", "m3", "m4"]
+BLOCKS = {n: [(i * (64 // n), 64 if i == n - 1 else (i + 1) * (64 // n)) for i in range(n)] for n in (9, 4)}
 COVER = sorted(LAND_COVER.values())
 WEIGHTS = [0.5, -1.0, 0.25, 2.0, -0.75, 1.5, -0.1, 0.3, 1.0]
 
@@ -65,16 +66,22 @@ CLEAN = f"""
 SELECT row_id, species, "decimalLatitude", "decimalLongitude", "eventDate" FROM ({RAW})
 WHERE status = 'PRESENT' AND "decimalLatitude" IS NOT NULL AND "eventDate" IS NOT NULL"""
 
+def block_mean(i: int, blocks: int) -> str:
+    """Mean of the ``i``-th of ``blocks`` equal parts of an embedding, the last part taking the rest."""
+    start, end = BLOCKS[blocks][i]
+    return "(" + " + ".join(f"CAST(embedding[{k + 1}] AS DOUBLE)" for k in range(start, end)) + f") / {d(float(end - start))}"
+
+
 FEATURES = (
     "SELECT vec_id AS row_id, CASE WHEN label < 3 THEN 1 ELSE 0 END AS label, "
-    + ", ".join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS "{c}"' for i, c in enumerate(ENV_VARS))
+    + ", ".join(f'{block_mean(i, len(ENV_VARS))} AS "{c}"' for i, c in enumerate(ENV_VARS))
     + " FROM embeddings"
 )
 
 SCORES = (
     "SELECT vec_id AS row_id, CASE WHEN label < 3 THEN 1 ELSE 0 END AS label, "
     + ", ".join(
-        f"round({d(1.0)} / ({d(1.0)} + exp(CAST(embedding[{i + 2}] AS DOUBLE) * {d(-5.0)})), 6) AS {m}" for i, m in enumerate(MODELS)
+        f"round({d(1.0)} / ({d(1.0)} + exp({block_mean(i, len(MODELS))} * {d(-20.0)})), 6) AS {m}" for i, m in enumerate(MODELS)
     )
     + " FROM embeddings"
 )
@@ -135,9 +142,12 @@ def inside(points: str) -> str:
     """Points (x, y) with an odd number of edges to their right, in any polygon."""
     return f"""
 SELECT DISTINCT x, y FROM (
-  SELECT p.x, p.y, e.poly_id FROM ({points}) p JOIN ({EDGES}) e
-    ON (e.y1 > p.y) <> (e.y2 > p.y) AND p.x < e.x1 + (p.y - e.y1) / (e.y2 - e.y1) * (e.x2 - e.x1)
-  GROUP BY p.x, p.y, e.poly_id HAVING count(*) % 2 = 1)"""
+  WITH pts AS MATERIALIZED (SELECT x, y FROM ({points})), edge AS MATERIALIZED ({EDGES}),
+  crossing AS MATERIALIZED (
+    SELECT r.y, e.poly_id, e.x1 + (r.y - e.y1) / (e.y2 - e.y1) * (e.x2 - e.x1) AS x_at
+    FROM (SELECT DISTINCT y FROM pts) r JOIN edge e ON least(e.y1, e.y2) <= r.y AND greatest(e.y1, e.y2) > r.y)
+  SELECT p.x, p.y, c.poly_id FROM pts p JOIN crossing c ON c.y = p.y AND p.x < c.x_at
+  GROUP BY p.x, p.y, c.poly_id HAVING count(*) % 2 = 1)"""
 
 
 PLANAR = f"SELECT o_orderkey AS row_id, {px('o_orderkey')} AS x, {py('o_orderkey')} AS y, o_totalprice AS probability FROM orders"
@@ -408,7 +418,8 @@ halves AS (
   UNION ALL SELECT i * 1000 + 500, j * 1000 + 500, CASE WHEN f00 + f10 + f01 + f11 IS NOT NULL THEN (f00 + f10 + f01 + f11) / 4
      WHEN f00 IS NULL OR f11 IS NULL THEN (f10 + f01) / 2 ELSE (f00 + f11) / 2 END
      FROM corner WHERE (f00 IS NULL)::INT + (f10 IS NULL)::INT + (f01 IS NULL)::INT + (f11 IS NULL)::INT <= 1)
-SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, round(v, 4) AS probability FROM halves WHERE v IS NOT NULL"""
+SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, round(v, 4) AS probability FROM halves WHERE v IS NOT NULL
+  AND x < (SELECT max(o_orderkey // 125) * 1000 FROM orders) AND y < (SELECT max(o_orderkey % 125) * 1000 FROM orders)"""
 
 ORACLE: dict[str, str] = {
     "occurrence_clean": f"{CLEAN} AND y >= 1997",

@@ -439,29 +439,34 @@ def shapley(spark: SparkSession, sf: str) -> DataFrame:
     return attribution.shapley(I.features(spark, sf), [fixed_network()], ENV_VARS, orders=4)
 
 
-def _species_table(spark: SparkSession, sf: str) -> tuple[DataFrame, list]:
-    return multiclass.index_classes(I.class_features(spark, sf), "species")
+def _species_table(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list]:
+    """Scaled training and held-out rows with their class numbers, and the classes."""
+    rows, classes = multiclass.index_classes(I.class_features(spark, sf), "species")
+    rows = splits.split_rows(rows)
+    scaled = splits.apply_scaler(rows, splits.fit_scaler(rows.filter(~F.col("is_test"))))
+    return scaled.filter(~F.col("is_test")), scaled.filter("is_test"), classes
 
 
 def mlp_multiclass(spark: SparkSession, sf: str) -> DataFrame:
-    rows, classes = _species_table(spark, sf)
-    model = multiclass.fit_mlp_multiclass(rows, ENV_VARS, len(classes), hidden=8, max_iter=10)
-    out = multiclass.predict_classes(model, rows, ENV_VARS)
-    return metrics.classification_report(out)
+    """Report on the held-out rows."""
+    train, test, classes = _species_table(spark, sf)
+    model = multiclass.fit_mlp_multiclass(train, ENV_VARS, len(classes))
+    return metrics.classification_report(multiclass.predict_classes(model, test, ENV_VARS))
 
 
 def ovr(spark: SparkSession, sf: str) -> DataFrame:
-    rows, classes = _species_table(spark, sf)
-    models = multiclass.fit_ovr(rows, ENV_VARS, len(classes), hidden=4, max_iter=3)
-    return multiclass.predict_ovr(models, rows, ENV_VARS).select("row_id", "species", "prediction", "probabilities")
+    train, test, classes = _species_table(spark, sf)
+    models = multiclass.fit_ovr(train, ENV_VARS, len(classes))
+    return multiclass.predict_ovr(models, test, ENV_VARS).select("row_id", "species", "prediction", "probabilities")
 
 
 def calibrate(spark: SparkSession, sf: str) -> DataFrame:
-    rows, classes = _species_table(spark, sf)
-    model = multiclass.fit_mlp_multiclass(rows, ENV_VARS, len(classes), hidden=8, max_iter=10)
-    scored = multiclass.predict_classes(model, rows, ENV_VARS)
-    fits = multiclass.calibrate_sigmoid(scored, len(classes), max_iter=10)
-    return multiclass.apply_calibration(scored, fits).select("row_id", "species", "prediction", "probabilities")
+    """Fitted on the training rows' scores, applied to the held-out rows."""
+    train, test, classes = _species_table(spark, sf)
+    model = multiclass.fit_mlp_multiclass(train, ENV_VARS, len(classes))
+    fits = multiclass.calibrate_sigmoid(multiclass.predict_classes(model, train, ENV_VARS), len(classes))
+    out = multiclass.apply_calibration(multiclass.predict_classes(model, test, ENV_VARS), fits)
+    return out.select("row_id", "species", "prediction", "probabilities")
 
 
 # --- stages ------------------------------------------------------------------

@@ -3,23 +3,31 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from habitat.functions.losses import sigmoid
 from habitat.learning.logit import assemble
 
+#: Fits that run at the same time.
+PARALLEL = 4
 
-def index_classes(df: DataFrame, column: str, limit: int = 1000) -> tuple[DataFrame, list]:
-    """Add ``label`` (0, 1, ...) in the order of the class names."""
-    classes = [r[0] for r in df.select(column).na.drop().distinct().orderBy(column).limit(limit + 1).collect()]
-    if len(classes) > limit:
-        raise ValueError("too many classes")
-    mapping = F.create_map(*[F.lit(v) for pair in ((c, float(i)) for i, c in enumerate(classes)) for v in pair])
-    return df.withColumn("label", mapping[F.col(column)]), classes
+
+def index_classes(df: DataFrame, column: str) -> tuple[DataFrame, list]:
+    """Add ``label`` (0, 1, ...) in the order of the class names, and return the names.
+
+    The classes are a table joined by name; rows without a class have no label. The names are read because
+    every network below has an output for each of them.
+    """
+    names = df.select(F.col(column).alias("_class")).na.drop().distinct()
+    ranked = names.withColumn("label", (F.row_number().over(Window.orderBy("_class")) - 1).cast("double"))
+    out = df.join(ranked, F.col(column) == F.col("_class"), "left").drop("_class")
+    return out, [r["_class"] for r in ranked.orderBy("label").collect()]
 
 
 def fit_mlp_multiclass(
@@ -39,15 +47,16 @@ def predict_classes(model, df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def fit_ovr(df: DataFrame, features: list[str], classes: int, hidden: int = 100, max_iter: int = 500, seed: int = 1) -> list:
-    """One two-class network per class."""
+    """One two-class network per class, fitted side by side."""
     data = df.persist()
+
+    def fit(c: int):
+        own = data.withColumn("label", (F.col("label") == c).cast("double"))
+        return fit_mlp_multiclass(own, features, 2, hidden, max_iter, seed)
+
     try:
-        return [
-            fit_mlp_multiclass(
-                data.withColumn("label", (F.col("label") == c).cast("double")), features, 2, hidden, max_iter, seed
-            )
-            for c in range(classes)
-        ]
+        with ThreadPool(PARALLEL) as pool:
+            return pool.map(fit, range(classes))
     finally:
         data.unpersist()
 

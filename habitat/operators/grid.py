@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from habitat.functions.projection import bng_to_wgs84
-from habitat.operators.polygons import points_within
+from habitat.operators.polygons import load_polygon_edges, points_within
 
 
 def lattice(spark: SparkSession, extent: tuple[float, float, float, float], step: float = 1000.0) -> DataFrame:
@@ -32,8 +32,11 @@ def edge_extent(edges: DataFrame) -> tuple[float, float, float, float]:
     return tuple(row)
 
 
-def national_grid(spark: SparkSession, edges: DataFrame, step: float = 1000.0, cell: float = 1000.0) -> DataFrame:
-    """Lattice points inside the polygons, as ``longitude, latitude``."""
+def national_grid(
+    spark: SparkSession, edges: DataFrame, step: float = 1000.0, cell: float = 1000.0, names: list[str] | None = None
+) -> DataFrame:
+    """Lattice points inside the polygons, or those named, as ``longitude, latitude``."""
+    edges = edges if names is None else load_polygon_edges(edges, names)
     points = points_within(lattice(spark, edge_extent(edges), step), edges, cell=cell)
     return bng_to_wgs84(points, "x", "y").select("row_id", "longitude", "latitude")
 
@@ -46,9 +49,12 @@ def resample_grid(
     origin: tuple[float, float] = (0.0, 0.0),
     spacing: float = 1000.0,
     step: float = 500.0,
+    closed: bool = False,
 ) -> DataFrame:
     """Linear resample of lattice values to a finer lattice.
 
+    Targets run from the least coordinates up to the largest, which they reach only if ``closed``.
+
     Each node is sent to the up to four lattice cells it is a corner of; a cell then
     writes its own targets. A target needs every corner that carries weight; with one
     corner missing, targets on the triangle of the other three are still linear.
@@ -94,6 +100,10 @@ def resample_grid(
         .when(f10.isNull() & (u <= w), f01 + u * (f11 - f01) + (one - w) * (f00 - f01))
         .when(f01.isNull() & (u >= w), f10 + (one - u) * (f00 - f10) + w * (f11 - f10))
     )
+    if not closed:
+        ends = df.agg((F.max(i) * factor).alias("x"), (F.max(j) * factor).alias("y"))
+        column, row = F.col("_ci") * factor + F.pmod("_t", F.lit(factor)), F.col("_cj") * factor + F.floor(F.col("_t") / F.lit(factor))
+        cells = cells.filter((column < ends.select("x").scalar()) & (row < ends.select("y").scalar()))
     out = cells.select(
         (F.lit(float(origin[0])) + (F.col("_ci") + u) * F.lit(float(spacing))).alias("x"),
         (F.lit(float(origin[1])) + (F.col("_cj") + w) * F.lit(float(spacing))).alias("y"),

@@ -31,6 +31,15 @@ def correlation(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def score_counts(df: DataFrame, p: str, label: str, by: list[str]) -> DataFrame:
+    """Presences ``_one`` and backgrounds ``_zero`` per group and score ``_p``; rows without a score are left out."""
+    return (
+        df.filter(F.col(p).isNotNull())
+        .groupBy(*by, (F.col(p).cast("double") + 0.0).alias("_p"))
+        .agg(F.sum((F.col(label) == 1).cast("long")).alias("_one"), F.sum((F.col(label) == 0).cast("long")).alias("_zero"))
+    )
+
+
 def boyce_index(df: DataFrame, p: str = "p", label: str = "label", bins: int = 10, by: list[str] | None = None) -> DataFrame:
     """Boyce index per group, as column ``boyce``.
 
@@ -40,12 +49,11 @@ def boyce_index(df: DataFrame, p: str = "p", label: str = "label", bins: int = 1
     ratio is the same in all of them.
     """
     by = list(by or [])
-    score = F.col(p).cast("double")
-    one, zero = F.col(label) == 1, F.col(label) == 0
+    return _boyce(score_counts(df, p, label, by), bins, by)
+
+
+def _boyce(counts: DataFrame, bins: int, by: list[str]) -> DataFrame:
     # Equal scores share a bin, so both passes work on counts per score.
-    counts = df.filter(F.col(p).isNotNull()).groupBy(*by, score.alias("_p")).agg(
-        F.sum(one.cast("long")).alias("_one"), F.sum(zero.cast("long")).alias("_zero")
-    )
     present = F.when(F.col("_one") > 0, F.col("_p"))
     range_ = counts.groupBy(*by).agg(
         F.min("_p").alias("_lo"), F.max("_p").alias("_hi"), F.min(present).alias("_plo"), F.max(present).alias("_phi")
@@ -115,17 +123,11 @@ def roc_auc(df: DataFrame, p: str = "p", label: str = "label", by: list[str] | N
     scores of one bucket.
     """
     by = list(by or [])
-    score = F.col(p).cast("double")
-    counts = (
-        df.filter(F.col(p).isNotNull())
-        .groupBy(*by, (score + 0.0).alias("_p"))
-        .agg(
-            F.sum((F.col(label) == 1).cast("long")).alias("_one"),
-            F.sum((F.col(label) == 0).cast("long")).alias("_zero"),
-        )
-        .withColumn("_b", _bucket(F.col("_p")))
-        .withColumn("_c", F.floor(F.col("_b") / 1024))
-    )
+    return _auc(score_counts(df, p, label, by), by)
+
+
+def _auc(counts: DataFrame, by: list[str]) -> DataFrame:
+    counts = counts.withColumn("_b", _bucket(F.col("_p"))).withColumn("_c", F.floor(F.col("_b") / 1024))
 
     def before(value: str, group: list[str], order: str) -> Column:
         window = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -152,8 +154,10 @@ def merged_metric(df: DataFrame, auc: str = "auc", boyce: str = "boyce") -> Data
 
 
 def evaluate(df: DataFrame, p: str = "p", label: str = "label", by: list[str] | None = None) -> DataFrame:
+    """Both metrics and their mean per group, from one table of counts per score."""
     by = list(by or [])
-    return merged_metric(_with_groups(roc_auc(df, p, label, by), boyce_index(df, p, label, by=by), by))
+    counts = score_counts(df, p, label, by)
+    return merged_metric(_with_groups(_auc(counts, by), _boyce(counts, 10, by), by))
 
 
 def ensemble_mean(scores: DataFrame, key: list[str], p: str = "p", name: str = "probability") -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -31,19 +32,32 @@ def session(app: str = "habitat", master: str | None = None, **extra: str) -> Sp
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """This application's folder under the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    Where that is unset it lies in the warehouse, which all machines share as well. The folder is
+    removed when the driver's Python ends.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base.rstrip('/')}/habitat-{spark.sparkContext.applicationId}"
+    if folder not in _made:
+        _made[folder] = spark
     return folder
 
 
+_made: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _remove_folders() -> None:
+    for folder, spark in _made.items():
+        try:
+            jvm = spark._jvm
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        except (Py4JError, OSError):  # the JVM has gone first
+            return
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written table.
 
@@ -51,6 +65,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     would multiply in the plan. A written table also outlives lost executors and
     gives the next joins a true size.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

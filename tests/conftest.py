@@ -9,9 +9,10 @@ from habitat.session import session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = session(
-        "tests", "local[4]", spark_sql_shuffle_partitions="4", spark_ui_enabled="false", spark_driver_memory="4g"
+        "tests", "local[4]", spark_sql_shuffle_partitions="4", spark_ui_enabled="false", spark_driver_memory="4g",
+        spark_checkpoint_dir=str(tmp_path_factory.mktemp("shared")), spark_sql_warehouse_dir=str(tmp_path_factory.mktemp("warehouse")),
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s

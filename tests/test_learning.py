@@ -111,6 +111,16 @@ def test_attribution_adds_up_and_matches_the_linear_case(spark, data):
     assert order[0] == "b" and metrics.top_features(attribution.importance(got), 1).first().feature == "b"
 
 
+def test_attribution_takes_the_whole_baseline(spark):
+    """Mean over all 100 baseline rows, whatever their order; a baseline beyond the limit is refused."""
+    one = mlp.Network([(np.array([[1.0, -1.0]]), np.zeros(2)), (np.array([[1.0], [-1.0]]), np.zeros(1))])
+    rows = spark.createDataFrame([(1, 1.0)], ["row_id", "a"])
+    baseline = spark.range(100).select(F.col("id").cast("double").alias("a"))
+    assert attribution.shapley(rows, [one], ["a"], orders=3, baseline=baseline).first().value == pytest.approx(-48.5)
+    with pytest.raises(ValueError):
+        attribution.shapley(rows, [one], ["a"], baseline=spark.range(1001).select(F.col("id").alias("a")))
+
+
 def test_multiclass_ovr_and_calibration(spark):
     rng = random.Random(4)
     rows = [(i, "xyz"[i % 3], *[rng.gauss(3.0 * (i % 3 == k), 1) for k in range(3)]) for i in range(150)]
