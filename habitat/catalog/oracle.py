@@ -372,8 +372,8 @@ BRITISH = (6377563.396, 6356256.909237285, 0.9996012717, 49.0, -2.0, 400000.0, -
 IRISH = (6377340.189, 6356034.447938534, 1.000035, 53.5, -8.0, 200000.0, 250000.0, (482.5, -130.6, 564.6), (-1.042, -0.214, -0.631), 8.15)
 
 
-def mlp(shift: int = 0) -> str:
-    """The fixed network written out as expressions, layer by layer."""
+def mlp(shift: int = 0, logit: bool = False) -> str:
+    """The fixed network written out as expressions, layer by layer; ``p``, or its logit ``z``."""
     def w(layer: int, i: int, j: int) -> float:
         return ((i * 7 + j * 3 + layer * 5 + shift) % 11 - 5) / 4.0
 
@@ -388,8 +388,9 @@ def mlp(shift: int = 0) -> str:
     second = ", ".join(f"greatest({d(0.0)}, {unit(1, ['a0', 'a1', 'a2'], j)}) + a{j} AS b{j}" for j in range(3))
     third = ", ".join(f"greatest({d(0.0)}, {unit(2, ['b0', 'b1', 'b2'], j)}) + b{j} AS c{j}" for j in range(3))
     z = unit(3, ["c0", "c1", "c2"], 0)
+    out = f"{z} AS z" if logit else f"{d(1.0)} / ({d(1.0)} + exp(-({z}))) AS p"
     return f"""
-SELECT row_id, {d(1.0)} / ({d(1.0)} + exp(-({z}))) AS p FROM (
+SELECT row_id, {out} FROM (
  SELECT row_id, {third} FROM (SELECT row_id, {second} FROM (SELECT row_id, {first} FROM ({FEATURES}))))"""
 
 
@@ -573,6 +574,9 @@ SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, roun
     + f"))), 6) AS p FROM ({FEATURES})",
     "linear_attribution": f"SELECT row_id, feature, round(value, 6) AS value FROM ({linear_values()})",
     "linear_importance": f"SELECT feature, round(avg(abs(value)), 6) AS importance FROM ({linear_values()}) GROUP BY feature ORDER BY avg(abs(value)) DESC, feature LIMIT 5",
+    "shapley_total": f"WITH n AS MATERIALIZED ({mlp(logit=True)}) SELECT row_id, round(z - (SELECT avg(z) FROM n WHERE row_id < 50), 6) AS total FROM n",
+    "logit_optimum": f"SELECT {TEST_ROW} AS is_test, count(*) AS n, CAST(sum(label) AS BIGINT) AS presences, TRUE AS converged, TRUE AS above_chance FROM ({FEATURES}) GROUP BY 1",
+    "class_shares": f"SELECT species, count(*) AS n, TRUE AS sums_to_one FROM (SELECT vec_id AS row_id, 'species_' || label AS species FROM embeddings) WHERE {TEST_ROW} GROUP BY species",
     "residual_mlp_score": f"SELECT row_id, round(p, 6) AS p FROM ({mlp()})",
     "score_models": f"SELECT a.row_id, round((a.p + b.p) / 2, 6) AS probability FROM ({mlp()}) a JOIN ({mlp(2)}) b ON b.row_id = a.row_id",
     "type_split": f"""

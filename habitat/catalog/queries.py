@@ -439,6 +439,38 @@ def shapley(spark: SparkSession, sf: str) -> DataFrame:
     return attribution.shapley(I.features(spark, sf), [fixed_network()], ENV_VARS, orders=4)
 
 
+def shapley_total(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares of a record add up to its logit less the mean logit of the baseline."""
+    rows = I.features(spark, sf)
+    shares = attribution.shapley(rows, [fixed_network()], ENV_VARS, orders=4, baseline=rows.filter("row_id < 50"))
+    return shares.groupBy("row_id").agg(F.round(F.sum("value"), 6).alias("total"))
+
+
+def logit_optimum(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of both parts; whether the gradient vanishes at the fit and ranks its training rows."""
+    rows = _linear_table(spark, sf)
+    train = rows.filter(~F.col("is_test"))
+    model = logit.fit_logit(train, ENV_VARS, LogitParams(C=1, class_weight="balanced"))
+    weights, intercept = logit.coefficients(model)
+    scored = train.withColumn("p", losses.sigmoid(logit.linear_logit(weights, intercept, ENV_VARS)))
+    n = F.count("*")
+    balance = [F.sum(F.when(F.col("label") == c, F.col("p") - c).otherwise(0.0)) * n / (2 * F.sum((F.col("label") == c).cast("int"))) for c in (0, 1)]
+    slopes = [
+        sum(F.sum(F.when(F.col("label") == c, (F.col("p") - c) * F.col(v)).otherwise(0.0)) * n / (2 * F.sum((F.col("label") == c).cast("int"))) for c in (0, 1)) + w
+        for v, w in zip(ENV_VARS, weights)
+    ]
+    largest = scored.agg((F.greatest(*[F.abs(g) for g in (balance[0] + balance[1], *slopes)]) / n).alias("g")).scalar()
+    ranked = metrics.roc_auc(scored).select("auc").scalar()
+    parts = rows.groupBy("is_test").agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("presences"))
+    return parts.withColumns({"converged": largest < 1e-3, "above_chance": ranked > 0.5})
+
+
+def class_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out rows by class, and whether the shares of the one-vs-rest models add up for all of them."""
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, v: a + v)
+    return ovr(spark, sf).groupBy("species").agg(F.count("*").alias("n"), F.bool_and(F.abs(total - 1.0) < 1e-9).alias("sums_to_one"))
+
+
 def _species_table(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list]:
     """Scaled training and held-out rows with their class numbers, and the classes."""
     rows, classes = multiclass.index_classes(I.class_features(spark, sf), "species")
@@ -507,6 +539,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         hash_split, scaler_fit, scaler_apply, saved_scaler, boyce_index, roc_auc, merged_metric, metrics_long, ensemble_mean,
         high_probability, ensemble_powerset, feature_corr, value_share, class_report,
         logit_fit, logit_score, linear_attribution, linear_importance, grid_search,
-        score_models, residual_mlp_score, residual_mlp_train, shapley, mlp_multiclass, ovr, calibrate, enriched_records,
+        score_models, residual_mlp_score, residual_mlp_train, shapley, shapley_total, logit_optimum, class_shares, mlp_multiclass, ovr, calibrate, enriched_records,
     )
 }
