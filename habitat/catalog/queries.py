@@ -403,8 +403,8 @@ def linear_importance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def grid_search(spark: SparkSession, sf: str) -> DataFrame:
-    settings = [LogitParams(C=c, penalty=p, max_iter=50) for c in (0.1, 10) for p in ("l2",)]
-    _, table = logit.grid_search(_linear_table(spark, sf), ENV_VARS, settings, "boyce", folds=5)
+    """Every setting of the grid, best first."""
+    _, table = logit.grid_search(_linear_table(spark, sf), ENV_VARS)
     return table
 
 
@@ -431,7 +431,7 @@ def residual_mlp_score(spark: SparkSession, sf: str) -> DataFrame:
 
 def residual_mlp_train(spark: SparkSession, sf: str) -> DataFrame:
     rows = _linear_table(spark, sf)
-    run = mlp.fit_residual_mlp(rows.filter(~F.col("is_test")), ENV_VARS, hidden=16, epochs=4, partitions=2)
+    run = mlp.fit_residual_mlp(rows.filter(~F.col("is_test")), ENV_VARS)
     return mlp.score_residual_mlp(rows, run.network, ENV_VARS).select("row_id", "label", F.round("p", 4).alias("p"))
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from itertools import product
-from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from habitat.config import LOGIT_GRID, LogitParams
 from habitat.functions.losses import sigmoid
-from habitat.operators.metrics import evaluate
+from habitat.learning.logit_many import Fit, fit_many
+from habitat.operators.metrics import boyce_index, roc_auc
 from habitat.operators.splits import fold_column
 
 
@@ -93,6 +95,35 @@ def expand_grid(grid: dict[str, list] = LOGIT_GRID) -> list[LogitParams]:
     return [LogitParams(**dict(zip(names, values))) for values in product(*grid.values())]
 
 
+def _family(s: LogitParams) -> tuple:
+    """What the fitted optimum depends on; equal for settings that differ in nothing but the iteration limit."""
+    mix = {"l2": 0.0, "l1": 1.0, "elasticnet": s.l1_ratio, "none": None}[s.penalty]
+    return (None, None, s.class_weight) if mix is None else (float(s.C), mix, s.class_weight)
+
+
+def _fit_of(s: LogitParams, fold: int, counts: dict[int, int], stops: list[int]) -> Fit:
+    c, mix, _ = _family(s)
+    rows = sum(counts.values())
+    strength = 0.0 if c is None or not rows else 1.0 / (c * rows)
+    weights = (1.0, 1.0)
+    if s.class_weight == "balanced":
+        weights = tuple(rows / (len(counts) * counts[k]) if k in counts else 1.0 for k in (0, 1))
+    return Fit(fold, weights, strength * (mix or 0.0), strength * (1.0 - (mix or 0.0)), stops)
+
+
+def _held_out(models: np.ndarray, features: list[str]) -> Column:
+    """Probabilities of a row under every model (model, fold, coefficients), by that row's fold."""
+
+    @F.pandas_udf("array<double>")
+    def score(fold: pd.Series, *columns: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+        own = models[:, fold.to_numpy()]
+        z = np.einsum("mrk,rk->rm", own[..., :-1], x) + own[..., -1].T
+        return pd.Series(list(1.0 / (1.0 + np.exp(-z))))
+
+    return score("fold", *[F.col(f"`{f}`").cast("double") for f in features])
+
+
 def grid_search(
     df: DataFrame,
     features: list[str],
@@ -105,44 +136,52 @@ def grid_search(
 ) -> tuple[LogitParams, DataFrame]:
     """Cross-validated search; returns the best settings and the mean score of each.
 
-    Folds come from a hash of the key. The fits of a fold run side by side on the
-    cluster; then every model scores its held-out fold in one pass and the metric is
-    taken per (settings, fold) in one aggregation.
+    Folds come from a hash of the key. All fits advance together, one pass over the rows per step
+    (``logit_many``), whence ``parallelism`` is not used any more. Settings that give the same model
+    in every fold are fitted and scored once: C where there is no penalty, and iteration limits
+    that no fold reaches. Then every model scores its held-out fold in one pass and the
+    metric is taken per (model, fold) in one aggregation. A score of NaN ranks last.
     """
     settings = grid if isinstance(grid, list) else expand_grid(grid)
     data = fold_column(df.select(key, label, *features), key, folds).persist()
     try:
-        jobs = [(i, f) for i in range(len(settings)) for f in range(folds)]
         sizes = data.groupBy("fold", label).agg(F.count("*").alias("n")).collect()
-
-        def fit(job: tuple[int, int]) -> tuple[list[float], float]:
-            setting, fold = job
-            counts: dict[int, int] = {}
-            for r in sizes:
-                if r["fold"] != fold:
-                    counts[int(r[label])] = counts.get(int(r[label]), 0) + r["n"]
-            return coefficients(fit_logit(data.filter(F.col("fold") != fold), features, settings[setting], label, counts))
-
-        with ThreadPool(parallelism) as pool:
-            models = pool.map(fit, jobs)
-        held_out = []
-        for fold in range(folds):
-            probabilities = F.array(
-                *[
-                    F.struct(F.lit(i).alias("setting"), sigmoid(linear_logit(*models[n], features)).alias("p"))
-                    for n, (i, f) in enumerate(jobs)
-                    if f == fold
-                ]
-            )
-            held_out.append(F.when(F.col("fold") == fold, probabilities))
-        scores = data.select(label, "fold", F.explode(F.coalesce(*held_out)).alias("s")).select(label, "fold", "s.*")
+        families: dict[tuple, list[int]] = {}
+        for i, s in enumerate(settings):
+            families.setdefault(_family(s), []).append(i)
+        jobs, fixed = {}, {}
+        for family, members in families.items():
+            stops = sorted({settings[i].max_iter for i in members})
+            for fold in range(folds):
+                counts: dict[int, int] = {}
+                for r in sizes:
+                    if r["fold"] != fold:
+                        counts[int(r[label])] = counts.get(int(r[label]), 0) + r["n"]
+                job = _fit_of(settings[members[0]], fold, counts, stops)
+                if len(counts) > 1:
+                    jobs[family, fold] = job
+                else:
+                    # One class only: its probability is 1, as in fit_logit.
+                    only = np.append(np.zeros(len(features)), np.inf if 1 in counts else -np.inf)
+                    fixed[family, fold] = {stop: only for stop in stops}
+        fit_many(data, features, label, list(jobs.values()))
+        fitted = {job: fit.at for job, fit in jobs.items()} | fixed
+        # Models by their coefficients in all folds.
+        models: dict[bytes, np.ndarray] = {}
+        model_of = []
+        for s in settings:
+            each = np.stack([fitted[_family(s), fold][s.max_iter] for fold in range(folds)])
+            models.setdefault(each.tobytes(), each)
+            model_of.append(list(models).index(each.tobytes()))
+        held_out = _held_out(np.stack(list(models.values())), features)
+        scores = data.select(label, "fold", F.posexplode(held_out).alias("setting", "p"))
+        metric = {"boyce": boyce_index, "roc_auc": roc_auc}[scorer]
         value = {"boyce": "boyce", "roc_auc": "auc"}[scorer]
-        result = (
-            evaluate(scores, "p", label, ["setting", "fold"])
-            .groupBy("setting")
-            .agg(F.avg(value).alias("score"))
-            .orderBy(F.desc("score"), "setting")
-            .collect()
+        means = metric(scores, "p", label, by=["setting", "fold"]).groupBy("setting").agg(F.avg(value).alias("score")).collect()
+        by_model = {r["setting"]: r["score"] for r in means}
+        result = sorted(
+            ({"setting": i, "score": by_model[m]} for i, m in enumerate(model_of)),
+            key=lambda r: (r["score"] != r["score"], -r["score"] if r["score"] == r["score"] else 0.0, r["setting"]),
         )
     finally:
         data.unpersist()

@@ -53,6 +53,43 @@ def test_grid(spark, data):
     assert logit.grid_search(data, NAMES, settings[1:], "boyce", folds=3)[0] == settings[1]
 
 
+@pytest.mark.parametrize("penalty", ["l2", "l1", "elasticnet", "none"])
+@pytest.mark.parametrize("class_weight", [None, "balanced"])
+def test_side_by_side_fits_equal_single_ones(data, penalty, class_weight):
+    params = LogitParams(C=0.05, penalty=penalty, class_weight=class_weight, max_iter=1000)
+    rows = data.withColumn("fold", (F.col("row_id") % 3).cast("int"))
+    train = rows.filter("fold != 1")
+    fit = logit._fit_of(params, 1, logit.class_counts(train), [1000])
+    logit.fit_many(rows, NAMES, "label", [fit])
+    w, b = logit.coefficients(logit.fit_logit(train, NAMES, params))
+    assert fit.iterations < 50 and np.abs(fit.at[1000] - [*w, b]).max() < 2e-3
+
+
+def test_settings_of_one_model_share_a_fit(data, monkeypatch):
+    """192 settings are 38 models; each setting keeps its own row, and equal models score alike."""
+    seen, plain = [], logit.fit_many
+    monkeypatch.setattr(logit, "fit_many", lambda d, f, lab, fits: (seen.extend(fits), plain(d, f, lab, fits)))
+    _, table = logit.grid_search(data, NAMES, folds=2)
+    rows = table.collect()
+    assert len(seen) == 38 * 2 and {s for f in seen for s in f.stops} == {300, 700, 1000, 10000}
+    assert sorted(r.setting for r in rows) == list(range(192))
+    assert len({r.score for r in rows if r.penalty == "none" and r.class_weight is None}) == 1
+
+
+def test_the_queries_do_the_whole_job(spark, monkeypatch):
+    """All settings of the grid, and the network's own size, length and partitions."""
+    from habitat.catalog import queries
+
+    monkeypatch.setattr(queries, "_linear_table", lambda *a: spark.range(4).withColumn("is_test", F.col("id") > 2))
+    calls = {}
+    monkeypatch.setattr(logit, "grid_search", lambda *a, **k: (calls.update(grid=(a[2:], k)), (None, None))[1])
+    queries.grid_search(spark, "")
+    monkeypatch.setattr(mlp, "fit_residual_mlp", lambda *a, **k: calls.update(mlp=(a[2:], k)) or mlp.Training(None, 0, 0.0, []))
+    monkeypatch.setattr(mlp, "score_residual_mlp", lambda *a: spark.createDataFrame([(1, 0, 0.5)], "row_id long, label int, p double"))
+    queries.residual_mlp_train(spark, "")
+    assert calls == {"grid": ((), {}), "mlp": ((), {})}
+
+
 def test_gradient_equals_finite_differences():
     rng = np.random.default_rng(0)
     net = mlp.new_network(3, hidden=4, residual=2, seed=3)
