@@ -130,7 +130,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
             other.append(_set_of({SWAP.get(w, w) for w in words}, known) if words & SWAP.keys() else None)
         return pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(x, pa.list_(pa.int64())), pa.array(other, pa.list_(pa.int64()))], ["doc_id", "y", "x", "other"])
 
-    rows = cut(map_slices(texts, measure, "doc_id long, y double, x array<long>, other array<long>"))
+    # A repeated doc_id is one row of the sample, so that its bound holds; x and other stay those of one text.
+    measured = map_slices(texts, measure, "doc_id long, y double, x array<long>, other array<long>")
+    one = measured.groupBy("doc_id").agg(F.max("y").alias("y"), F.max(F.struct("x", "other")).alias("s"))
+    rows = cut(one.select("doc_id", "y", "s.x", "s.other"))
     total = rows.agg(F.sum("y").alias("toxic"), F.count("*").alias("n")).first()
     share = (total.toxic or 0.0) / max(total.n, 1)
     if not 0 < share < 1:

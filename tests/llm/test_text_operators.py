@@ -372,6 +372,14 @@ def test_toxicity_on_held_out_rows(larger):
     assert auc(held) > 0.93 and np.mean([s >= 0.5 for s, y in held if y]) > 0.8 and np.mean([s >= 0.5 for s, y in held if not y]) < 0.02
 
 
+def test_a_repeated_labelled_row_counts_once(spark):
+    rows = [(i, "vile words here" if i % 3 == 0 else f"kind words number {i}") for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    one = next(i for i in range(120) if fold(i, 5) != 0 and i % 3 == 0)
+    once, often = (toxicity.learn(spark.createDataFrame(rows + [rows[one]] * k, "doc_id long, text string"), labels) for k in (0, 200))
+    assert once[0] == often[0] and np.array_equal(once[1], often[1]) and once[2] == often[2]
+
+
 def test_counterfactual_penalty_shrinks_identity_weights(monkeypatch):
     # Feature 0 is an insult; 1 and 2 are the names of two groups, of which 1 occurs mostly in toxic texts.
     x = [[0, 1]] * 40 + [[0]] * 20 + [[1]] * 6 + [[2]] * 30 + [[]] * 60
