@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from habitat.llm import ann, bpe, mixing, near_dedup, quality, secrets, sharding, suffix_dedup, topk, toxicity
+from habitat.llm import ann, bpe, hard_negatives, mixing, near_dedup, quality, secrets, sharding, suffix_dedup, topk, toxicity
 from habitat.llm.common import read
 
 
@@ -52,6 +53,12 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_report(read(spark, sf, "documents"), read(spark, sf, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    table = read(spark, sf, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table.withColumn("label", label), "vec_id % 50 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_near_duplicates": op2_near_duplicates,
@@ -63,4 +70,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_shards": op9_shards,
     "op10_quality": op10_quality,
+    "op11_hard_negatives": op11_hard_negatives,
 }
