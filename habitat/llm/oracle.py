@@ -63,4 +63,43 @@ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
 QUALIFY rank <= 3
 """
 
-ORACLE = {"op11_hard_negatives": OP11, "op5_top_products": OP5, "op7_mix_sources": OP7}
+OP12 = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+k AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS steps),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i::INTEGER, 1))::BIGINT)),
+           lambda r, x: xor(r // 256, steps[xor(r % 256, x) + 1])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t), k),
+n AS (SELECT conv_id AS base, count(*) AS turns FROM t GROUP BY conv_id),
+r AS (
+  SELECT c.conv_id, t.pos AS d, role, text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, least(c.h, coalesce(n.turns, 0)) + t.pos - c.h, role, text
+  FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h LEFT JOIN n ON n.base = c.base),
+p AS (
+  SELECT conv_id, d, list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY d) AS key,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM r
+  UNION ALL SELECT conv_id, 0, [], 0 FROM c),
+x AS (
+  SELECT key, d, count(*) AS n_convs, min(conv_id) AS conv_id, max(words) AS words FROM p GROUP BY key, d),
+e AS (
+  SELECT key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, key FROM p QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY d DESC) = 1) GROUP BY key),
+ch AS (SELECT key[1:d - 1] AS key, count(*) AS n_children FROM x WHERE d > 0 GROUP BY 1),
+s AS (
+  SELECT key[1:g.k] AS key, sum((n_convs - 1) * words) AS saved, count(*) FILTER (WHERE leaf) AS leaves
+  FROM (SELECT x.*, ch.key IS NULL AS leaf FROM x LEFT JOIN ch ON ch.key = x.key), unnest(range(0, d + 1)) AS g(k) GROUP BY 1)
+SELECT x.conv_id, x.d::BIGINT AS depth, o.conv_id AS parent_conv_id, x.n_convs::BIGINT AS n_convs, coalesce(ch.n_children, 0)::BIGINT AS n_children,
+       s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM x JOIN s ON s.key = x.key LEFT JOIN ch ON ch.key = x.key LEFT JOIN e ON e.key = x.key
+LEFT JOIN x o ON o.d = x.d - 1 AND o.key = x.key[1:x.d - 1]
+"""
+
+ORACLE = {"op11_hard_negatives": OP11, "op12_conversation_trie": OP12, "op5_top_products": OP5, "op7_mix_sources": OP7}

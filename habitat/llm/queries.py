@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from habitat.llm import ann, bpe, hard_negatives, mixing, near_dedup, quality, secrets, sharding, suffix_dedup, topk, toxicity
+from habitat.llm import ann, bpe, conversation_trie, hard_negatives, mixing, near_dedup, quality, secrets, sharding, suffix_dedup, topk, toxicity
 from habitat.llm.common import read
 
 
@@ -59,6 +59,10 @@ def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return hard_negatives.hard_negatives(table.withColumn("label", label), "vec_id % 50 = 0")
 
 
+def op12_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return conversation_trie.conversation_trie(read(spark, sf, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_near_duplicates": op2_near_duplicates,
@@ -71,4 +75,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_shards": op9_shards,
     "op10_quality": op10_quality,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_conversation_trie": op12_conversation_trie,
 }
