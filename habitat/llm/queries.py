@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from habitat.llm import ann, bpe, conversation_trie, hard_negatives, mixing, near_dedup, quality, secrets, sharding, suffix_dedup, topk, toxicity
+from habitat.llm import ann, bpe, conversation_trie, hard_negatives, mixing, near_dedup, personal_data, quality, secrets, sharding, suffix_dedup, topk, toxicity
 from habitat.llm.common import read
 
 
@@ -63,6 +63,10 @@ def op12_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
     return conversation_trie.conversation_trie(read(spark, sf, "conversations"))
 
 
+def op13_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return personal_data.personal_data(read(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_near_duplicates": op2_near_duplicates,
@@ -76,4 +80,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_personal_data": op13_personal_data,
 }
