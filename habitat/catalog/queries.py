@@ -217,13 +217,13 @@ def least_cloudy_anywhere(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def aoi_mean(spark: SparkSession, sf: str) -> DataFrame:
-    out = scenes.aoi_mean(I.scene_records(spark, sf), I.scene_pixels(spark, sf), km=10.0, blocks=2)
+    out = scenes.aoi_mean(I.scene_records(spark, sf), I.scene_pixels(spark, sf), km=10.0, tile=16.0)
     return out.select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(c) for c in spectral.INDEX_NAMES])
 
 
 def aoi_mean_of_bands(spark: SparkSession, sf: str) -> DataFrame:
     """Sums of whole band values are exact, so the indices need no rounding."""
-    out = scenes.aoi_mean(I.scene_records(spark, sf), I.scene_pixels(spark, sf), km=10.0, mode="ratio_of_means", blocks=2)
+    out = scenes.aoi_mean(I.scene_records(spark, sf), I.scene_pixels(spark, sf), km=10.0, mode="ratio_of_means", tile=16.0)
     return out.select("l_orderkey", "l_linenumber", *spectral.INDEX_NAMES)
 
 
