@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from habitat.catalog import inputs as I
@@ -16,7 +18,7 @@ from habitat.functions import geo, losses, spectral
 from habitat.functions.projection import bng_to_wgs84, to_bng, to_irish_grid
 from habitat.learning import attribution, logit, mlp, multiclass
 from habitat.operators import cleaning, encoding, grid, lookup, metrics, polygons, radius, raster, roads, scenes, splits
-from habitat.plans import enrich, score_grid
+from habitat.plans import enrich, score_grid, train
 from habitat.session import shared_folder
 from habitat.sources import tables
 
@@ -31,6 +33,7 @@ REQUEST = {
     }
 }
 COVER_COLUMNS = [f"Land_cover_{v}" for v in sorted(LAND_COVER.values())]
+COUNTRIES = ["NATION_1", "NATION_2", "NATION_5", "NATION_9"]
 LINEAR_WEIGHTS = [0.5, -1.0, 0.25, 2.0, -0.75, 1.5, -0.1, 0.3, 1.0]
 
 
@@ -110,6 +113,33 @@ def occurrence_files(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.clean_occurrences(tables.read_occurrences(spark, paths), min_year=1997)
 
 
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def first_file_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 200 rows of each of two files, which hold the first thousand present and absent orders."""
+    raw = I.raw_occurrences(spark, sf)
+    paths = []
+    for status in ("PRESENT", "ABSENT"):
+        paths.append(_fresh(spark, status))
+        own = raw.filter(F.col("occurrenceStatus") == status).orderBy("row_id").limit(1000).coalesce(1)
+        own.orderBy("row_id").drop("row_id").write.option("sep", "\t").option("header", True).csv(paths[-1])
+    out = tables.read_occurrences(spark, paths, rows=200)
+    return out.select("occurrenceStatus", "year", "species", "decimalLongitude")
+
+
+def stage_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Records written as a parquet stage and as a CSV one, and read again by their schema."""
+    rows = I.records(spark, sf)
+    parquet, text = _fresh(spark, "stage"), f"{_fresh(spark, 'stage')}.csv"
+    tables.write_stage(rows, parquet)
+    tables.write_stage(rows, text, fmt="csv")
+    kept = tables.read_stage(spark, parquet).unionByName(tables.read_stage(spark, text, rows.schema))
+    return kept.groupBy("row_id", "eventDate").agg(F.count("*").alias("copies"), F.round(F.min("decimalLatitude"), 9).alias("latitude"),
+                                                   (F.min("decimalLongitude") == F.max("decimalLongitude")).alias("same"))
+
+
 def bounds(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.bounds(I.records(spark, sf), "decimalLongitude", "decimalLatitude")
 
@@ -268,6 +298,12 @@ def national_grid(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.round("longitude", 7).alias("longitude"), F.round("latitude", 7).alias("latitude"))
 
 
+def country_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """The national grid of four named countries."""
+    out = grid.national_grid(spark, I.polygon_edges(spark, sf), step=500.0, names=COUNTRIES)
+    return out.select(F.round("longitude", 7).alias("longitude"), F.round("latitude", 7).alias("latitude"))
+
+
 def grid_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Lattice points before and after the polygon filter."""
     edges = I.polygon_edges(spark, sf)
@@ -408,6 +444,70 @@ def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     return table
 
 
+def grid_search_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds of a search on any data: every setting scored, best first, the same model scored alike, and the best at least as good as Spark's own fit."""
+    rows = _linear_table(spark, sf)
+    _, table = logit.grid_search(rows, ENV_VARS, scorer="roc_auc")
+    scores = table.agg(
+        F.count("*").alias("settings"), F.count("score").alias("scored"), F.countDistinct("penalty").alias("penalties"), F.max("score").alias("_best"),
+        F.bool_and(F.col("score").between(0, 1)).alias("in_range"),
+    )
+    # C plays no part where nothing is penalised.
+    alike = table.filter("penalty = 'none'").groupBy("class_weight", "max_iter").agg((F.max("score") - F.min("score")).alias("gap"))
+    fixed = LogitParams(C=1, penalty="l2", max_iter=100)
+    folds = splits.fold_column(rows, "row_id", 5)
+    parts = []
+    for k in range(5):
+        model = logit.fit_logit(folds.filter(F.col("fold") != k), ENV_VARS, fixed)
+        held = logit.predict_probability(model, folds.filter(F.col("fold") == k), ENV_VARS)
+        parts.append(metrics.roc_auc(held).select("auc"))
+    own = reduce(DataFrame.unionByName, parts).agg(F.avg("auc")).scalar()
+    out = scores.withColumns({"none_alike": alike.agg(F.max("gap") < 1e-12).scalar(), "best_not_below_fixed": F.col("_best") >= own - 1e-6})
+    return out.drop("_best")
+
+
+def stored_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Two stored models and a stored split: whether rows score the same after reloading."""
+    folder = _fresh(spark, "models")
+    rows = _linear_table(spark, sf)
+    tables.save_split(rows, f"{folder}/split")
+    again = tables.join_split(rows.drop("is_test"), f"{folder}/split")
+    for n, c in enumerate((0.1, 10.0)):
+        model = logit.fit_logit(again.filter(~F.col("is_test")), ENV_VARS, LogitParams(C=c))
+        tables.save_model(model, folder, "linear", ENV_VARS, first=n == 0)
+    # The second model is the latest version, so both must give the same score.
+    now = logit.predict_probability(model, again, ENV_VARS, "before")
+    loaded = tables.load_model(spark, folder, "linear").transform(now)
+    old = tables.load_model(spark, folder, "linear", version=1).transform(loaded.select(*now.columns, vector_to_array("probability")[1].alias("after")))
+    return old.select("row_id", "is_test", (F.col("before") == F.col("after")).alias("same"),
+                      vector_to_array("probability")[1].between(0, 1).alias("old_scores"))
+
+
+def linear_ensemble(spark: SparkSession, sf: str) -> DataFrame:
+    """The two linear models and their mean on the test rows; each AUC against the share of ordered pairs."""
+    rows = I.features(spark, sf)
+    kind = F.when(F.col("label") == 1, "presence").otherwise("background")
+    data = train.prepare(rows.withColumn("type", kind).drop("label"))
+    models = train.train_linear(data, params={"boyce": LogitParams(C=0.1), "roc": LogitParams(C=10, class_weight="balanced")})
+    table = train.evaluate_linear(data, models)
+    scored = data.test
+    for name, model in models.items():
+        scored = logit.predict_probability(model, scored, data.features, f"p_{name}")
+    scored = scored.withColumn("both", (F.col("p_boyce") + F.col("p_roc")) / 2)
+    # Mid-ranks give the share of pairs in order without making the pairs.
+    names = {"p_boyce": "boyce", "p_roc": "roc", "both": "boyce, roc"}
+    long = scored.select("label", F.explode(F.array(*[F.struct(F.lit(n).alias("ensemble"), F.col(c).alias("p")) for c, n in names.items()])).alias("e")).select("label", "e.*")
+    ties = long.groupBy("ensemble", "p").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
+    below = Window.partitionBy("ensemble").orderBy("p")
+    ranked = ties.withColumn("mid", F.sum("n").over(below) - (F.col("n") - 1) / 2)
+    pairs = ranked.groupBy("ensemble").agg(
+        F.sum("n").alias("rows"), F.sum("pos").alias("presences"), (F.sum(F.col("mid") * F.col("pos")) - F.sum("pos") * (F.sum("pos") + 1) / 2).alias("ordered"))
+    pairs = pairs.withColumn("share", F.col("ordered") / (F.col("presences") * (F.col("rows") - F.col("presences"))))
+    sizes = F.size(F.split("ensemble", "[^a-z]+"))
+    matched = table.select(F.regexp_replace("ensemble", "[^a-z]+", ", ").alias("ensemble"), "auc").join(pairs, "ensemble", "left")
+    return matched.select(sizes.alias("models"), "rows", "presences", (F.abs(F.col("auc") - F.col("share")) < 1e-9).alias("auc_is_share_of_pairs"))
+
+
 def fixed_network(shift: int = 0) -> mlp.Network:
     """Small network with weights from a rule, for scoring against SQL."""
     def matrix(rows: int, cols: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
@@ -436,23 +536,23 @@ def residual_mlp_train(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shapley(spark: SparkSession, sf: str) -> DataFrame:
-    return attribution.shapley(I.features(spark, sf), [fixed_network()], ENV_VARS, orders=4)
+    return attribution.shapley(I.features(spark, sf), [fixed_network()], ENV_VARS)
 
 
 def shapley_total(spark: SparkSession, sf: str) -> DataFrame:
     """The shares of a record add up to its logit less the mean logit of the baseline."""
     rows = I.features(spark, sf)
-    shares = attribution.shapley(rows, [fixed_network()], ENV_VARS, orders=4, baseline=rows.filter("row_id < 50"))
+    shares = attribution.shapley(rows, [fixed_network()], ENV_VARS, baseline=cleaning.sample_n(rows, 50))
     return shares.groupBy("row_id").agg(F.round(F.sum("value"), 6).alias("total"))
 
 
 def logit_optimum(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of both parts; whether the gradient vanishes at the fit and ranks its training rows."""
     rows = _linear_table(spark, sf)
-    train = rows.filter(~F.col("is_test"))
-    model = logit.fit_logit(train, ENV_VARS, LogitParams(C=1, class_weight="balanced"))
+    fitted = rows.filter(~F.col("is_test"))
+    model = logit.fit_logit(fitted, ENV_VARS, LogitParams(C=1, class_weight="balanced"))
     weights, intercept = logit.coefficients(model)
-    scored = train.withColumn("p", losses.sigmoid(logit.linear_logit(weights, intercept, ENV_VARS)))
+    scored = fitted.withColumn("p", losses.sigmoid(logit.linear_logit(weights, intercept, ENV_VARS)))
     n = F.count("*")
     balance = [F.sum(F.when(F.col("label") == c, F.col("p") - c).otherwise(0.0)) * n / (2 * F.sum((F.col("label") == c).cast("int"))) for c in (0, 1)]
     slopes = [
@@ -481,22 +581,52 @@ def _species_table(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
 
 def mlp_multiclass(spark: SparkSession, sf: str) -> DataFrame:
     """Report on the held-out rows."""
-    train, test, classes = _species_table(spark, sf)
-    model = multiclass.fit_mlp_multiclass(train, ENV_VARS, len(classes))
+    known, test, classes = _species_table(spark, sf)
+    model = multiclass.fit_mlp_multiclass(known, ENV_VARS, len(classes))
     return metrics.classification_report(multiclass.predict_classes(model, test, ENV_VARS))
 
 
 def ovr(spark: SparkSession, sf: str) -> DataFrame:
-    train, test, classes = _species_table(spark, sf)
-    models = multiclass.fit_ovr(train, ENV_VARS, len(classes))
+    known, test, classes = _species_table(spark, sf)
+    models = multiclass.fit_ovr(known, ENV_VARS, len(classes))
     return multiclass.predict_ovr(models, test, ENV_VARS).select("row_id", "species", "prediction", "probabilities")
 
 
+def class_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out rows per class under the multi-class network, and what must hold of its calibration.
+
+    Calibration minimises each class's loss on the rows it is fitted to, so there it is not above that of any constant score.
+    """
+    train_rows, test, classes = _species_table(spark, sf)
+    model = multiclass.fit_mlp_multiclass(train_rows, ENV_VARS, len(classes))
+    fitted = multiclass.predict_classes(model, train_rows, ENV_VARS)
+    fits = multiclass.calibrate_sigmoid(fitted, len(classes))
+    held = multiclass.apply_calibration(multiclass.predict_classes(model, test, ENV_VARS), fits)
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, v: a + v)
+    best = F.array_max("probabilities") == F.element_at("probabilities", F.col("prediction").cast("int") + 1)
+    counts = held.groupBy("species").agg(F.count("*").alias("n"), F.bool_and((F.abs(total - 1) < 1e-9) & best).alias("shares_and_best"))
+    each = F.array(*[F.struct(F.lit(name).alias("species"), F.col("label").alias("label"), F.lit(float(c)).alias("c"),
+                              losses.sigmoid(F.lit(a) * F.col("probabilities")[c] + F.lit(b)).alias("q")) for c, (name, (a, b)) in enumerate(zip(classes, fits))])
+    rows = fitted.select(F.explode(each).alias("e")).select("e.*")
+    hit = (F.col("label") == F.col("c")).cast("double")
+    # The targets are smoothed as in the fit.
+    target = F.when(hit == 1, (F.col("_n") + 1) / (F.col("_n") + 2)).otherwise(1 / (F.col("_rows") - F.col("_n") + 2))
+    sizes = rows.groupBy("species").agg(F.sum(hit).alias("_n"), F.count("*").alias("_rows"))
+    rows = rows.join(sizes, "species").withColumn("_t", target)
+    mean = Window.partitionBy("species")
+    rows = rows.withColumn("_m", F.avg("_t").over(mean))
+    def loss(q):
+        return F.sum(-F.col("_t") * F.ln(q) - (1 - F.col("_t")) * F.ln(1 - q))
+
+    judged = rows.groupBy("species").agg((loss(F.col("q")) <= loss(F.col("_m")) * (1 + 1e-6)).alias("calibration_not_above_constant"))
+    return counts.join(judged, "species")
+
+
 def calibrate(spark: SparkSession, sf: str) -> DataFrame:
     """Fitted on the training rows' scores, applied to the held-out rows."""
-    train, test, classes = _species_table(spark, sf)
-    model = multiclass.fit_mlp_multiclass(train, ENV_VARS, len(classes))
-    fits = multiclass.calibrate_sigmoid(multiclass.predict_classes(model, train, ENV_VARS), len(classes))
+    known, test, classes = _species_table(spark, sf)
+    model = multiclass.fit_mlp_multiclass(known, ENV_VARS, len(classes))
+    fits = multiclass.calibrate_sigmoid(multiclass.predict_classes(model, known, ENV_VARS), len(classes))
     out = multiclass.apply_calibration(multiclass.predict_classes(model, test, ENV_VARS), fits)
     return out.select("row_id", "species", "prediction", "probabilities")
 
@@ -530,15 +660,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         occurrence_clean, occurrence_count_since, operational_sites, predicate_filter, dedup_union_label,
-        one_hot_flags, one_hot_decode, one_hot_drop_first, numeric_cast, type_split, occurrence_files, bounds, sample_rows, first_rows,
+        one_hot_flags, one_hot_decode, one_hot_drop_first, numeric_cast, type_split, occurrence_files, first_file_rows, stage_tables, bounds, sample_rows, first_rows,
         spectral_indices, aoi_boxes, tiles, loss_columns, to_bng_grid, to_irish, from_bng_grid,
         radius_month_flags, flagged_share_by_month, site_radius_flag, lookup_first, attach_results,
         least_cloudy_scene, least_cloudy_anywhere, aoi_mean, aoi_mean_of_bands, lst_mean, nearest_segment,
-        raster_point, raster_window_mode, points_in_polygon, masked_grid, lattice, national_grid, grid_counts, points_in_box,
+        raster_point, raster_window_mode, points_in_polygon, masked_grid, lattice, national_grid, country_grid, grid_counts, points_in_box,
         resample_grid, probability_map,
         hash_split, scaler_fit, scaler_apply, saved_scaler, boyce_index, roc_auc, merged_metric, metrics_long, ensemble_mean,
         high_probability, ensemble_powerset, feature_corr, value_share, class_report,
-        logit_fit, logit_score, linear_attribution, linear_importance, grid_search,
-        score_models, residual_mlp_score, residual_mlp_train, shapley, shapley_total, logit_optimum, class_shares, mlp_multiclass, ovr, calibrate, enriched_records,
+        logit_fit, logit_score, linear_attribution, linear_importance, grid_search, grid_search_facts, stored_models, linear_ensemble,
+        score_models, residual_mlp_score, residual_mlp_train, shapley, shapley_total, logit_optimum, class_shares, mlp_multiclass, ovr, calibrate, class_facts, enriched_records,
     )
 }
