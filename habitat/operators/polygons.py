@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from habitat.operators.roads import ENDS, LEVELS, segment_cells
+from habitat.operators.roads import ENDS, goes_on, segment_cells
+from habitat.session import cut_lineage
 
 # Place of the reference point in its cell; uneven, so that round vertices miss it.
 REF_X, REF_Y = 0.41421356, 0.57735027
@@ -119,17 +120,18 @@ def _inside_places(df: DataFrame, edges: DataFrame, x: str, y: str, cell: float,
     # Copies of an edge cancel in pairs.
     odd = edges.groupBy("poly_id", *ENDS).agg(F.count("*").alias("_n")).filter(F.col("_n") % 2 == 1).drop("_n")
     items = _polygon_items(odd, cell)
-    found = []
-    for depth in range(LEVELS):
-        # Looking is one aggregation over the edges; going on is rare.
-        hot = items.groupBy("cx", "cy").agg(F.count("*").alias("_n")).filter(F.col("_n") > crowded).select("cx", "cy")
-        deeper = depth < LEVELS - 1 and not hot.isEmpty()
-        settled = places.join(hot, ["cx", "cy"], "left_anti") if deeper else places
-        found.append(_odd(settled, items, cell, ["_px", "_py"]))
-        if not deeper:
-            break
+    found, last = [], None
+    # One aggregation over the edges tells whether any cell is crowded; mostly none is.
+    counts = items.groupBy("cx", "cy").agg(F.count("*").alias("_n"))
+    while goes_on(most := counts.agg(F.max("_n")).first()[0], crowded, last, cell):
+        hot = counts.filter(F.col("_n") > crowded).select("cx", "cy")
+        found.append(_odd(places.join(hot, ["cx", "cy"], "left_anti"), items, cell, ["_px", "_py"]))
         places, items = _finer(places, items, hot, cell)
-        cell = cell / 8
+        # What a level leaves is written, so the plan of the next one starts afresh.
+        places, items = cut_lineage(places), cut_lineage(items)
+        last, cell = most, cell / 8
+        counts = items.groupBy("cx", "cy").agg(F.count("*").alias("_n"))
+    found.append(_odd(places, items, cell, ["_px", "_py"]))
     return reduce(DataFrame.unionByName, found).select("_px", "_py").distinct()
 
 
