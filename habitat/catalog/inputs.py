@@ -23,9 +23,7 @@ BLOCKS = {n: [(i * (64 // n), 64 if i == n - 1 else (i + 1) * (64 // n)) for i i
 def block_mean(i: int, blocks: int) -> Column:
     """Mean of the ``i``-th of ``blocks`` parts of an embedding."""
     start, end = BLOCKS[blocks][i]
-    total = F.col("embedding")[start].cast("double")
-    for k in range(start + 1, end):
-        total = total + F.col("embedding")[k].cast("double")
+    total = F.aggregate(F.slice("embedding", start + 1, end - start), F.lit(0.0), lambda a, v: a + v.cast("double"))
     return total / F.lit(float(end - start))
 
 

@@ -10,7 +10,8 @@ from __spark_entry__ import queries
 from habitat import session
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-EAGER = {"logit_optimum", "class_shares", "grid_search", "ovr", "calibrate", "mlp_multiclass", "residual_mlp_train", "logit_fit"}
+EAGER = {"logit_optimum", "class_shares", "grid_search", "ovr", "calibrate", "mlp_multiclass", "residual_mlp_train", "logit_fit",
+         "grid_search_facts", "class_facts", "stored_models", "linear_ensemble"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not found")
