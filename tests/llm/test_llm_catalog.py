@@ -5,6 +5,7 @@ import pytest
 
 from habitat.llm.oracle import ORACLE
 from habitat.llm.queries import QUERIES
+from tools.check import rows_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,11 +15,11 @@ def test_query_equals_sql(spark, name):
     link = duckdb.connect()
     for table in ("documents", "embeddings", "conversations"):
         link.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
-    want = link.execute(ORACLE[name]).df()
-    got = QUERIES[name](spark, SF).toPandas()
-    columns = sorted(want.columns)
-    assert sorted(got.columns) == columns
-    assert sorted(map(tuple, got[columns].to_numpy().tolist())) == sorted(map(tuple, want[columns].to_numpy().tolist()))
+    found = link.execute(ORACLE[name])
+    names = [c[0] for c in found.description]
+    df = QUERIES[name](spark, SF)
+    assert sorted(df.columns) == sorted(names)
+    assert rows_of([tuple(r) for r in df.collect()], df.columns) == rows_of(found.fetchall(), names)
 
 
 def test_one_query_for_each_operator():
