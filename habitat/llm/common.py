@@ -21,6 +21,15 @@ SLICE_BYTES = 8 << 20
 cut = cut_lineage
 
 
+def free(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``cut`` wrote and that nothing reads any more."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if "/stage-" in folder:
+                path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -74,6 +83,14 @@ def slices(batch: pa.RecordBatch, text: str | None, most: int = SLICE_BYTES) ->
         yield batch.slice(a, b - a)
 
 
+def clear_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` begins with, for columns that are added for a while."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def unit(key: str) -> float:
     """A fixed number in [0, 1) for a key."""
     return zlib.crc32(key.encode()) / 2**32

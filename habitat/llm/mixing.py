@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from habitat.llm.common import WORD, cut
+from habitat.llm.common import WORD, clear_prefix, cut
 
 #: Weights by rank of the source, repeated.
 WEIGHTS = (1, 2, 3)
@@ -135,7 +135,9 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mixture itself: the rows of ``docs``, each as many times as the mix takes it, with the same columns."""
     _, edges = _plan(docs)
-    edges = edges.select(F.col("source").alias("__at"), F.col("passes").alias("__passes"), F.col("below_hash").alias("__below"))
-    copies = F.col("__passes") + (hash_line() < F.col("__below")).cast("long")
-    taken = docs.join(edges, docs["source"].cast("string").eqNullSafe(F.col("__at"))).withColumn("__copies", copies.cast("int")).filter("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = clear_prefix(docs)
+    at, passes, below, copies, copy = (own + c for c in ("at", "passes", "below", "copies", "copy"))
+    edges = edges.select(F.col("source").alias(at), F.col("passes").alias(passes), F.col("below_hash").alias(below))
+    times = (F.col(passes) + (hash_line() < F.col(below)).cast("long")).cast("int")
+    taken = docs.join(edges, docs["source"].cast("string").eqNullSafe(F.col(at))).withColumn(copies, times).filter(F.col(copies) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from habitat.llm.common import cut, whole_text
+from habitat.llm.common import clear_prefix, cut, whole_text
 
 SHARDS = 40
 #: Bytes that each row counts besides its text.
@@ -153,7 +153,8 @@ def shard_report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``docs`` with all columns, and ``shard`` and ``slot`` (columns of those names are replaced)."""
     splitters = plan(cut(_keyed(docs).select("size", "key")), shards)
-    keyed = docs.withColumn("__key", sort_key(whole_text())).withColumn("__id", F.col("doc_id"))
-    placed = assign(keyed, splitters, "__key", "__")
+    own = clear_prefix(docs)
+    keyed = docs.withColumn(own + "key", sort_key(whole_text())).withColumn(own + "id", F.col("doc_id"))
+    placed = assign(keyed, splitters, own + "key", own)
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
-    return placed.select(*keep, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+    return placed.select(*keep, F.col(own + "shard").alias("shard"), F.col(own + "slot").alias("slot"))
