@@ -45,15 +45,15 @@ def fold(doc_id: str, parts: int) -> Column:
 
 
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None],
-               schema: str | T.StructType, text: str | None = "text") -> DataFrame:
-    """Apply ``fn`` to Arrow batches cut so that each holds about ``SLICE_BYTES`` of ``text``.
+               schema: str | T.StructType, text: str | None = "text", most: int = SLICE_BYTES) -> DataFrame:
+    """Apply ``fn`` to Arrow batches cut so that each holds about ``most`` bytes of ``text``.
 
     A single row longer than that makes a batch of its own. A StructType as ``schema`` keeps the names of all columns.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, text):
+            for piece in slices(batch, text, most):
                 out = fn(piece)
                 if out is None:
                     continue
