@@ -7,7 +7,12 @@ suffixes with one Lyndon prefix, and groups stand in lexicographic order. Then t
 smallest suffix on: behind each suffix follow, along the pointers, those that it is the next smaller
 suffix of, each to the front of its group. Nothing is renamed or solved recursively.
 
-The steps of all texts run side by side in numpy.
+Pointers are found by following those of finished suffixes, which skips each of them once; suffixes of one group that meet
+each other follow one another in doubling steps. The members of a group lie side by side in one array, and those
+that move change places with its last ones, so no step reads more than the suffixes it handles.
+
+The steps of all texts run side by side in numpy, on flat arrays: cell 1 + row * n + i is position i of a row, cell 0 and the
+last cell of each row end every walk to the left.
 """
 
 from __future__ import annotations
@@ -23,72 +28,122 @@ def suffix_orders(texts: np.ndarray) -> np.ndarray:
 
 
 def _groups(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First place of each suffix's group, and its previous smaller suffix (-1 if there is none)."""
+    """First slot of each cell's group, and the cell of its previous smaller suffix (a last cell if there is none)."""
     rows, n = texts.shape
     symbols = int(texts.max()) + 1
-    count = np.bincount((np.arange(rows)[:, None] * symbols + texts).ravel(), minlength=rows * symbols).reshape(rows, symbols)
-    first = np.cumsum(count, axis=1) - count
-    kind = np.int16 if n < 1 << 15 else np.int32
-    group = np.take_along_axis(first, texts.astype(np.int64), axis=1).astype(kind)
-    size = np.zeros((rows, n + 1), dtype=kind)
-    row, symbol = np.nonzero(count)
-    size[row, first[row, symbol]] = count[row, symbol]
-    above = np.full((rows, n), -1, dtype=kind)
-    place = np.arange(n, dtype=kind)
-    live = np.arange(rows)
-    now = group.max(axis=1)
-    while len(live):
-        own = group[live]
-        low = own < now[:, None]
-        before = np.maximum.accumulate(np.where(low, place, kind(-1)), axis=1)
-        at, i = np.nonzero(own == now[:, None])
-        pointed = before[at, i]
-        above[live[at], i] = pointed
-        has = pointed >= 0
-        spot, often = np.unique(live[at[has]].astype(np.int64) * n + pointed[has], return_counts=True)
-        r, p = np.divmod(spot, n)
-        h = group[r, p].astype(np.int64)
-        order = np.lexsort((often, h, r))
-        r, p, h, often = r[order], p[order], h[order], often[order]
-        if len(r):
-            new_h = np.append(True, (np.diff(r) != 0) | (np.diff(h) != 0))
-            new_c = new_h | np.append(True, np.diff(often) != 0)
-            starts_h, starts_c = np.flatnonzero(new_h), np.flatnonzero(new_c)
-            end_h = np.append(starts_h[1:], len(r))[np.cumsum(new_h) - 1]
-            start_c = starts_c[np.cumsum(new_c) - 1]
-            full = size[r[starts_h], h[starts_h]].astype(np.int64)[np.cumsum(new_h) - 1]
-            target = h + full - (end_h - start_c)
-            size[r[starts_h], h[starts_h]] -= np.diff(np.append(starts_h, len(r))).astype(kind)
-            size[r[starts_c], target[starts_c]] = np.diff(np.append(starts_c, len(r)))
-            group[r, p] = target
-        # Only the groups below are still to come, moved ones among them.
-        now = np.where(low, group[live], kind(0)).max(axis=1)
-        keep = now > 0
-        live, now = live[keep], now[keep]
+    kind = (np.arange(rows, dtype=np.int64)[:, None] * symbols + texts).ravel()
+    count = np.bincount(kind, minlength=rows * symbols)
+    first = np.cumsum(count) - count
+    group = np.append(-1, first[kind])
+    size = np.zeros(rows * n, dtype=np.int64)
+    size[first[count > 0]] = count[count > 0]
+    member = np.argsort(kind, kind="stable") + 1
+    slot = np.zeros(rows * n + 1, dtype=np.int64)
+    slot[member] = np.arange(rows * n)
+    above = np.arange(-1, rows * n)
+    moving = np.zeros(rows * n + 1, dtype=bool)
+    bottom = np.arange(rows, dtype=np.int64) * n + 1
+    end = bottom + n - 1
+    live = end > bottom
+    while live.any():
+        if not live.all():
+            bottom, end = bottom[live], end[live]
+        start = group[member[end - 1]]
+        own, cell = _members(start, end, member)
+        pointed = _point(own, cell, group, above)
+        end = start
+        live = end > bottom
+        # The last cells stand in the first slot of their row and never move.
+        pointed = pointed[(pointed - 1) % n != n - 1] if n > 1 else pointed[:0]
+        if len(pointed):
+            _move(pointed, group, size, member, slot, moving)
     return group, above
 
 
+def _members(start: np.ndarray, end: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    length = end - start
+    total = int(length.sum())
+    if total == len(start):
+        return start, member[start]
+    at = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(total)
+    return np.repeat(start, length), member[at]
+
+
+def _point(own: np.ndarray, cell: np.ndarray, group: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Previous smaller suffixes of the cells of the present groups ``own``, also stored in ``above``."""
+    to = cell - 1
+    there = group[to]
+    far = np.flatnonzero(there > own)
+    while len(far):
+        step = above[to[far]]
+        to[far] = step
+        now = group[step]
+        there[far] = now
+        far = far[now > own[far]]
+    above[cell] = to
+    # Those that stopped at a suffix of their own group take over its pointer.
+    same = np.flatnonzero(there == own)
+    while len(same):
+        step = above[to[same]]
+        to[same] = step
+        above[cell[same]] = step
+        same = same[group[step] == own[same]]
+    return to
+
+
+def _move(pointed: np.ndarray, group: np.ndarray, size: np.ndarray, member: np.ndarray, slot: np.ndarray, moving: np.ndarray) -> None:
+    """Move the cells pointed at to the end of their groups, as groups by how often they are pointed at."""
+    pointed = np.sort(pointed)
+    edge = np.flatnonzero(np.append(True, pointed[1:] != pointed[:-1]))
+    cell, often = pointed[edge], np.diff(np.append(edge, len(pointed)))
+    home = group[cell]
+    order = np.lexsort((often, home))
+    cell, often, home = cell[order], often[order], home[order]
+    new_home = np.append(True, home[1:] != home[:-1])
+    new_kind = np.append(True, new_home[1:] | (often[1:] != often[:-1]))
+    at_home, at_kind = np.flatnonzero(new_home), np.flatnonzero(new_kind)
+    moved = np.diff(np.append(at_home, len(cell)))
+    tail = (home[at_home] + size[home[at_home]] - moved)[np.cumsum(new_home) - 1]
+    to = tail + np.arange(len(cell)) - np.repeat(at_home, moved)
+    size[home[at_home]] -= moved
+    size[to[at_kind]] = np.diff(np.append(at_kind, len(cell)))
+    moving[cell] = True
+    there = member[to]
+    there = there[~moving[there]]
+    moving[cell] = False
+    left = slot[cell]
+    left = left[left < tail]
+    member[left], slot[there] = there, left
+    member[to], slot[cell] = cell, to
+    group[cell] = to[at_kind][np.cumsum(new_kind) - 1]
+
+
 def _emit(group: np.ndarray, above: np.ndarray, rows: int, n: int) -> np.ndarray:
-    order = np.full((rows, n), -1, dtype=np.int32)
-    order[:, 0] = n - 1
-    placed = np.zeros((rows, n), dtype=bool)
-    placed[:, n - 1] = True
-    front = np.broadcast_to(np.arange(n, dtype=np.int32), (rows, n)).copy()
-    live, at = np.arange(rows), np.zeros(rows, dtype=np.int64)
-    j = order[live, 0].astype(np.int64) - 1
-    while len(live):
-        stop = (j < 0) | placed[live, j]
-        go = ~stop
-        r, s = live[go], j[go]
-        g = group[r, s]
-        order[r, front[r, g]] = s
-        front[r, g] += 1
-        placed[r, s] = True
-        j[go] = above[r, s]
-        at[stop] += 1
-        done = at >= n
-        if done.any():
-            keep = ~done
-            live, at, j, stop = live[keep], at[keep], j[keep], stop[keep]
-        j[stop] = order[live[stop], at[stop]] - 1
-    return order
+    last = np.arange(1, rows + 1, dtype=np.int64) * n
+    order = np.zeros(rows * n, dtype=np.int64)
+    order[last - n] = last
+    placed = np.zeros(rows * n + 1, dtype=bool)
+    placed[0] = placed[last] = True
+    front = np.arange(rows * n)
+    at, end = last - n, last
+    cell = last - 1
+    while len(at):
+        stop = placed[cell]
+        go = np.flatnonzero(~stop)
+        own = cell[go]
+        home = group[own]
+        to = front[home]
+        order[to] = own
+        front[home] = to + 1
+        placed[own] = True
+        cell[go] = above[own]
+        stop = np.flatnonzero(stop)
+        if len(stop):
+            at[stop] += 1
+            if (at[stop] >= end[stop]).any():
+                keep = np.ones(len(at), dtype=bool)
+                keep[stop] = at[stop] < end[stop]
+                at, end, cell, stop = at[keep], end[keep], cell[keep], stop[keep[stop]]
+                stop = np.searchsorted(np.flatnonzero(keep), stop)
+            cell[stop] = order[at[stop]] - 1
+    return ((order - 1) % n).reshape(rows, n).astype(np.int32)
