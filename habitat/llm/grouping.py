@@ -73,7 +73,7 @@ def _point(own: np.ndarray, cell: np.ndarray, group: np.ndarray, above: np.ndarr
     """Previous smaller suffixes of the cells of the present groups ``own``, also stored in ``above``."""
     to = cell - 1
     there = group[to]
-    far = np.flatnonzero(there > own)
+    far = (there > own).nonzero()[0]
     while len(far):
         step = above[to[far]]
         to[far] = step
@@ -82,7 +82,7 @@ def _point(own: np.ndarray, cell: np.ndarray, group: np.ndarray, above: np.ndarr
         far = far[now > own[far]]
     above[cell] = to
     # Those that stopped at a suffix of their own group take over its pointer.
-    same = np.flatnonzero(there == own)
+    same = (there == own).nonzero()[0]
     while len(same):
         step = above[to[same]]
         to[same] = step
@@ -101,7 +101,7 @@ def _move(pointed: np.ndarray, group: np.ndarray, size: np.ndarray, member: np.n
     cell, often, home = cell[order], often[order], home[order]
     new_home = np.append(True, home[1:] != home[:-1])
     new_kind = np.append(True, new_home[1:] | (often[1:] != often[:-1]))
-    at_home, at_kind = np.flatnonzero(new_home), np.flatnonzero(new_kind)
+    at_home, at_kind = new_home.nonzero()[0], new_kind.nonzero()[0]
     moved = np.diff(np.append(at_home, len(cell)))
     tail = (home[at_home] + size[home[at_home]] - moved)[np.cumsum(new_home) - 1]
     to = tail + np.arange(len(cell)) - np.repeat(at_home, moved)
@@ -129,7 +129,7 @@ def _emit(group: np.ndarray, above: np.ndarray, rows: int, n: int) -> np.ndarray
     cell = last - 1
     while len(at):
         stop = placed[cell]
-        go = np.flatnonzero(~stop)
+        go = (~stop).nonzero()[0]
         own = cell[go]
         home = group[own]
         to = front[home]
@@ -137,13 +137,16 @@ def _emit(group: np.ndarray, above: np.ndarray, rows: int, n: int) -> np.ndarray
         front[home] = to + 1
         placed[own] = True
         cell[go] = above[own]
-        stop = np.flatnonzero(stop)
+        stop = stop.nonzero()[0]
         if len(stop):
-            at[stop] += 1
-            if (at[stop] >= end[stop]).any():
-                keep = np.ones(len(at), dtype=bool)
-                keep[stop] = at[stop] < end[stop]
-                at, end, cell, stop = at[keep], end[keep], cell[keep], stop[keep[stop]]
-                stop = np.searchsorted(np.flatnonzero(keep), stop)
-            cell[stop] = order[at[stop]] - 1
+            now = at[stop] + 1
+            at[stop] = now
+            keep = now < end[stop]
+            if keep.all():
+                cell[stop] = order[now] - 1
+            else:
+                # These rows are complete.
+                cell[stop[keep]] = order[now[keep]] - 1
+                rest = at < end
+                at, end, cell = at[rest], end[rest], cell[rest]
     return ((order - 1) % n).reshape(rows, n).astype(np.int32)

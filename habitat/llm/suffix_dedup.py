@@ -146,8 +146,8 @@ def _repeats(blocks: list[tuple[list[bytes], list[int], list[int]]]) -> Iterator
             same[c:d] = (row[c:d] == row[c - 1:d - 1]) & (cells[spot[c:d]] == cells[spot[c - 1:d - 1]]).all(axis=1)
         kind = np.cumsum(~same)
         number, own, offset = np.array(chosen)[row], piece[row, at].astype(np.int64), start[row, at].astype(np.int64)
-        doc = np.array([blocks[k][1][i] for k, i in zip(number.tolist(), own.tolist())], dtype=np.int64)
-        base = np.array([blocks[k][2][i] for k, i in zip(number.tolist(), own.tolist())], dtype=np.int64)
+        place = (np.cumsum([0] + [len(blocks[k][1]) for k in chosen[:-1]]))[row] + own
+        doc, base = (np.concatenate([np.array(blocks[k][c], dtype=np.int64) for k in chosen])[place] for c in (1, 2))
         by = np.lexsort((base + offset, doc, kind))
         repeated = np.ones(len(by), dtype=bool)
         repeated[by[np.append(True, np.diff(kind[by]) != 0)]] = False
