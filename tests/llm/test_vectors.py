@@ -90,8 +90,33 @@ def test_segments_stop_early_and_stay_exact():
         x[:, 0] *= 50
         ids = rng.permutation(10_000)[:500]
         index = topk.Segments(x, ids)
-        for query in (*x[:20], np.zeros(8, dtype=np.int64)):
+        queries = np.stack([*x[:20], np.zeros(8, dtype=np.int64)])
+        for query, got in zip(queries, index.top(queries, np.full(len(queries), -1), 5)):
             s = x @ query
             want = [(int(ids[i]), int(s[i])) for i in np.lexsort((ids, -s))][:5]
-            got = index.top(query, -1, 5)
             assert list(zip(got[0].tolist(), got[1].tolist())) == want
+
+
+def test_segments_of_repeated_ids_and_few_rows():
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 40):
+        x, ids = rng.integers(-4, 5, size=(n, 3)), rng.integers(0, max(1, n // 3) + 1, size=n)
+        queries, own = rng.integers(-4, 5, size=(9, 3)), rng.integers(0, n, size=9)
+        for query, q, got in zip(queries, own, topk.Segments(x, ids).top(queries, own, 4)):
+            most = {}
+            for i, score in zip(ids.tolist(), (x @ query).tolist()):
+                if i != q:
+                    most[i] = max(most.get(i, score), score)
+            assert list(zip(got[0].tolist(), got[1].tolist())) == sorted(most.items(), key=lambda e: (-e[1], e[0]))[:4]
+
+
+def test_share_of_postings_read():
+    rng = np.random.default_rng(5)
+    n, dims = 4096, 64
+    x = rng.standard_normal((n, dims))
+    sparse = x * (rng.random((n, dims)) < 0.15) * 6
+    for rows, most in ((x, 0.85), (sparse, 0.3)):
+        rows = np.floor(256 * rows / np.linalg.norm(rows, axis=1)[:, None]).astype(np.int64)
+        index = topk.Segments(rows, np.arange(n))
+        index.top(rows[:64], np.arange(64), 5)
+        assert index.read <= most * index.asked
