@@ -1,8 +1,10 @@
 """Operators on documents against plain versions, over small and odd tables."""
 
+import base64
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -101,6 +103,28 @@ def test_redact_takes_partly_matched_and_short_credentials(spark):
     assert sum(r.n_format for i, r in spans.items() if i < 1000) == 0
 
 
+def test_precision_and_recall_of_formats(spark):
+    """Formats taught by assignments and bare digests; strings unseen so far against card numbers, order numbers, base64 and words."""
+    rng = np.random.default_rng(12)
+    draw = lambda symbols, n: "".join(rng.choice(list(symbols), n))
+    letters = string.ascii_letters + string.digits
+    syllables = "the of and da ta mo del va lue with from re port ser vice ac count num ber gion or der cus to mer his".split()
+    common = ["".join(rng.choice(syllables, rng.integers(2, 5))) for _ in range(2500)]
+    words = lambda n: " ".join(rng.choice(common, n))
+    live = lambda: "ghp_" + draw(letters, 36)
+    plain = [lambda: draw(string.digits, 16), lambda: "ORD-" + draw(string.digits, 8),
+             lambda: base64.b64encode(words(6).encode()).decode().rstrip("="), lambda: "-".join(rng.choice(common, 2))]
+    for labels, recall in ((12, 0.4), (200, 0.9)):
+        rows = [words(30) for _ in range(400)]
+        for _ in range(labels):
+            rows += [f"token={live()} {words(9)}", f"sum {draw('0123456789abcdef', 32)} {words(9)}", f"id AKIA{draw(string.ascii_uppercase + string.digits, 16)} x"]
+        rows += [f"note {plain[i % 4]()} here" for i in range(400)]
+        taught = secrets.learn(secrets.scan(spark.createDataFrame([(r,) for r in rows], "text string")))
+        hits = sum(secrets.is_secret(live(), taught) for _ in range(200))
+        wrong = sum(secrets.is_secret(plain[i % 4](), taught) for i in range(400))
+        assert hits >= recall * 200 and wrong <= 4, (labels, hits, wrong)
+
+
 def test_secrets_of_an_empty_table(empty):
     assert secrets.secret_report(empty).count() == 0 and secrets.redact(empty).count() == 0
 
