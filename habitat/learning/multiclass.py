@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from multiprocessing.pool import ThreadPool
-
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import LogisticRegression
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from habitat.functions.losses import sigmoid
 from habitat.learning.logit import assemble
-
-#: Fits that run at the same time.
-PARALLEL = 4
+from habitat.learning.mlp_many import OneHidden, fit_many, probabilities
 
 
 def index_classes(df: DataFrame, column: str) -> tuple[DataFrame, list]:
@@ -30,55 +24,36 @@ def index_classes(df: DataFrame, column: str) -> tuple[DataFrame, list]:
     return out, [r["_class"] for r in ranked.orderBy("label").collect()]
 
 
-def fit_mlp_multiclass(
-    df: DataFrame, features: list[str], classes: int, hidden: int = 100, max_iter: int = 500, seed: int = 1
-) -> MultilayerPerceptronClassificationModel:
-    """One hidden layer and one output per class; ``label`` holds 0..classes-1."""
-    trainer = MultilayerPerceptronClassifier(
-        layers=[len(features), hidden, classes], maxIter=max_iter, seed=seed, featuresCol="features", labelCol="label"
-    )
-    return trainer.fit(assemble(df, features))
+def _best(scores: str) -> Column:
+    return (F.array_position(F.col(scores), F.array_max(scores)) - 1).cast("double")
 
 
-def predict_classes(model, df: DataFrame, features: list[str]) -> DataFrame:
-    """Add ``prediction`` and ``probabilities`` (one per class)."""
-    scored = model.transform(assemble(df, features))
-    return scored.select(*df.columns, "prediction", vector_to_array("probability").alias("probabilities"))
+def fit_mlp_multiclass(df: DataFrame, features: list[str], classes: int, hidden: int = 100, max_iter: int = 500, seed: int = 1) -> OneHidden:
+    """One hidden layer and one output per class; ``label`` holds 0..classes-1."""
+    return fit_many(df, features, "label", classes, [None], hidden, max_iter, seed)[0]
 
 
-def fit_ovr(df: DataFrame, features: list[str], classes: int, hidden: int = 100, max_iter: int = 500, seed: int = 1) -> list:
-    """One two-class network per class, fitted side by side."""
-    data = df.persist()
+def predict_classes(model: OneHidden, df: DataFrame, features: list[str]) -> DataFrame:
+    """Add ``prediction`` and ``probabilities`` (one per class)."""
+    scored = df.withColumn("probabilities", probabilities([model], features))
+    return scored.select(*df.columns, _best("probabilities").alias("prediction"), "probabilities")
 
-    def fit(c: int):
-        own = data.withColumn("label", (F.col("label") == c).cast("double"))
-        return fit_mlp_multiclass(own, features, 2, hidden, max_iter, seed)
 
-    try:
-        with ThreadPool(PARALLEL) as pool:
-            return pool.map(fit, range(classes))
-    finally:
-        data.unpersist()
+def fit_ovr(df: DataFrame, features: list[str], classes: int, hidden: int = 100, max_iter: int = 500, seed: int = 1) -> list[OneHidden]:
+    """One two-class network per class; all advance together, one pass over the rows per step."""
+    return fit_many(df, features, "label", 2, list(range(classes)), hidden, max_iter, seed)
 
 
-def predict_ovr(models: list, df: DataFrame, features: list[str]) -> DataFrame:
+def predict_ovr(models: list[OneHidden], df: DataFrame, features: list[str]) -> DataFrame:
     """Independent class probabilities scaled to a sum of 1, and the largest as ``prediction``.
 
-    The models score one after the other on the same rows, so nothing is joined.
+    The models score in one call on the same rows, so nothing is joined.
     """
-    data = assemble(df, features)
-
-    def add(frame: DataFrame, item: tuple[int, object]) -> DataFrame:
-        c, model = item
-        out = model.transform(frame)
-        return out.withColumn(f"_p{c}", vector_to_array("probability")[1]).drop("prediction", "probability", "rawPrediction")
-
-    scored = reduce(add, enumerate(models), data)
-    raw = [F.col(f"_p{c}") for c in range(len(models))]
-    total = reduce(lambda a, b: a + b, raw)
-    shares = F.array(*[F.coalesce(F.try_divide(p, total), F.lit(1.0 / len(models))) for p in raw])
-    best = F.array_position(shares, F.array_max(shares)) - 1
-    return scored.select(*df.columns, best.cast("double").alias("prediction"), shares.alias("probabilities"))
+    scored = df.withColumn("_raw", probabilities(models, features, 1))
+    total = F.aggregate("_raw", F.lit(0.0), lambda a, v: a + v)
+    shares = F.transform("_raw", lambda p: F.coalesce(F.try_divide(p, total), F.lit(1.0 / len(models))))
+    scored = scored.withColumn("probabilities", shares)
+    return scored.select(*df.columns, _best("probabilities").alias("prediction"), "probabilities")
 
 
 def calibrate_sigmoid(df: DataFrame, classes: int, scores: str = "probabilities", max_iter: int = 100) -> list[tuple[float, float]]:
@@ -110,5 +85,4 @@ def apply_calibration(df: DataFrame, fits: list[tuple[float, float]], scores: st
     out = df.withColumn("_cal", F.array(*raw))
     total = F.aggregate("_cal", F.lit(0.0), lambda a, v: a + v)
     out = out.withColumn(scores, F.transform("_cal", lambda v: v / total)).drop("_cal")
-    best = F.array_position(F.col(scores), F.array_max(scores)) - 1
-    return out.withColumn("prediction", best.cast("double"))
+    return out.withColumn("prediction", _best(scores))

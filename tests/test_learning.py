@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from habitat.config import LOGIT_GRID, LogitParams
-from habitat.learning import attribution, logit, mlp, multiclass
+from habitat.learning import attribution, logit, mlp, mlp_many, multiclass
 from habitat.operators import metrics
 from habitat.sources import tables
 
@@ -172,3 +172,36 @@ def test_multiclass_ovr_and_calibration(spark):
     ovr = multiclass.predict_ovr(multiclass.fit_ovr(df, NAMES, 3, hidden=4, max_iter=40), df, NAMES).collect()
     assert all(sum(r.probabilities) == pytest.approx(1.0) for r in ovr)
     assert sum(r.prediction == r.label for r in ovr) > 120
+
+
+def test_hidden_layer_gradient():
+    rng = np.random.default_rng(5)
+    shape = mlp_many.Shape(3, 4, 2)
+    table = np.column_stack([rng.normal(size=(300, 3)), rng.integers(0, 3, 300)]).astype(np.float32)
+    flats = [shape.start(1), shape.start(2)]
+    _, slopes = mlp_many.loss_and_gradient(shape, flats, [0, 2], table)
+    for k in range(2):
+        for j in range(0, shape.size, 3):
+            up, down = (mlp_many.loss_and_gradient(shape, [f + (np.arange(shape.size) == j) * e for f in flats], [0, 2], table)[0][k] for e in (1e-2, -1e-2))
+            assert slopes[k][j] == pytest.approx((up - down) / 2e-2, abs=0.05)
+
+
+def test_ovr_passes_do_not_grow_with_the_classes(spark, monkeypatch):
+    """All classes are fitted in the same passes over the rows, each as if it were alone."""
+    rng = random.Random(4)
+    rows = [(i, float(i % 6), *[rng.gauss(3.0 * (i % 3 == k) + i % 2, 1) for k in range(3)]) for i in range(180)]
+    df = spark.createDataFrame(rows, ["row_id", "label", *NAMES])
+    passes, inner = [], mlp_many._sums
+    monkeypatch.setattr(mlp_many, "_sums", lambda *a: passes.append(1) or inner(*a))
+    six = multiclass.fit_ovr(df, NAMES, 6, hidden=4, max_iter=15)
+    assert len(six) == 6 and len(passes) <= 40
+    alone = mlp_many.fit_many(df, NAMES, "label", 2, [4], 4, 15, 1)[0]
+    assert np.allclose(six[4].flat(), alone.flat(), rtol=1e-3, atol=1e-3)
+    with pytest.raises(Exception, match="null or NaN"):
+        multiclass.fit_ovr(df.withColumn("a", F.when(F.col("row_id") > 0, F.col("a"))), NAMES, 6)
+
+
+def test_sums_of_many_partitions_are_added_in_groups(spark):
+    parts = spark.sparkContext.parallelize(range(100), 40).mapPartitions(lambda rows: [(len(v), np.array([float(sum(v))])) for v in [list(rows)]])
+    found = mlp_many.in_order(parts)
+    assert len(found) <= 7 and sum(n for n, _ in found) == 100 and sum(v for _, v in found) == 4950
