@@ -178,6 +178,24 @@ def test_near_duplicates_lose_no_link(spark, monkeypatch, few, width, percent):
 
 def test_temporary_columns_clash_with_none(odd):
     names = ["__gone", "__at", "__passes", "__below", "__copies", "__copy", "__key", "__id", "__slot", "__SHARD"]
+def test_documents_of_many_buckets_are_labelled_once(spark):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(9000)}" for _ in range(200)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1:])) for i in range(300) for k in [rng.randrange(200)]]
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    assert near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).filter("component_id = 0").count() >= 300
+    made = 0
+    for i in range(before, store.executionsCount()):
+        run = store.executionsList().apply(i).executionId()
+        metrics, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            if re.search(r"Join \[id#\d+L\], \[id#\d+L\], LeftOuter", node.desc()):
+                values = [metrics.get(m.accumulatorId()) for m in map(node.metrics().apply, range(node.metrics().size())) if m.name() == "number of output rows"]
+                made += sum(int(v.get().replace(",", "")) for v in values if v.isDefined())
+    assert 0 < made <= 3 * len(rows)
+
+
     odd = odd.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
     for got in (near_dedup.drop_near_duplicates(odd, 3, 85), mixing.mix(odd), sharding.shard(odd.drop("shard"), 4).drop("shard", "slot")):
         rows = got.collect()
