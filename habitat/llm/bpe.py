@@ -16,11 +16,13 @@ import base64
 import functools
 import hashlib
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -35,6 +37,8 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BLOCK_WORDS, BLOCK_TOKENS = 300_000, 6_000_000
 #: Text for each group of distinct words that are encoded together.
 GROUP_BYTES = 16 << 20
+#: Ids whose digests are taken at a time; a document's own stay together.
+DIGEST_IDS = 1 << 20
 
 
 @functools.cache
@@ -121,7 +125,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[tuple[in
         for piece in slices(batch, "text"):
             found = [words_of(t) for t in piece.column("text").to_pylist()]
             counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            seq = np.fromiter((numbers[w] for each in found for w in each), dtype=np.uint32, count=int(counts.sum()))
+            seq = np.fromiter(map(numbers.__getitem__, itertools.chain.from_iterable(found)), dtype=np.uint32, count=int(counts.sum()))
             chunks.append((piece.column("doc_id").to_pylist(), counts, _pack(seq)))
             tokens += len(seq)
             if len(numbers) >= BLOCK_WORDS or tokens >= BLOCK_TOKENS:
@@ -258,18 +262,33 @@ def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id long, data binary")
 
 
+def _joined(table: pa.Array, ids: pa.Array, edges: np.ndarray) -> list[memoryview]:
+    """The entries of ``table`` at ``ids``, those between two edges side by side."""
+    taken = table.take(ids)
+    _, offsets, data = taken.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int64, count=len(taken) + 1)[edges].tolist() if len(taken) else [0] * len(edges)
+    data = memoryview(data or b"")
+    return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
 def digests(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
     """(doc_id, ids) -> doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _token_bytes(ranks)
-        name = [str(i) for i in range(len(token))].__getitem__
-        token = token.__getitem__
+        token = pa.array(_token_bytes(ranks), pa.large_binary())
+        name = pa.array([b"%d," % i for i in range(len(token))], pa.large_binary())
         for batch in batches:
-            rows = [(len(ids), hashlib.sha256(",".join(map(name, ids)).encode()).hexdigest(), hashlib.sha256(b"".join(map(token, ids))).hexdigest())
-                    for ids in (x.as_py() or [] for x in batch.column("ids"))]
-            columns = list(zip(*rows)) if rows else [[], [], []]
-            kinds = (pa.int64(), pa.string(), pa.string())
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            sizes = np.asarray(pc.list_value_length(batch.column("ids")).fill_null(0), dtype=np.int64)
+            part = (np.cumsum(sizes) - sizes) // DIGEST_IDS
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                ids, edges = batch.column("ids").slice(a, b - a).flatten(), np.append(0, np.cumsum(sizes[a:b]))
+                # Each name ends with a comma; the last one of a document is left off.
+                named = [hashlib.sha256(x[:-1]).hexdigest() for x in _joined(name, ids, edges)]
+                plain = [hashlib.sha256(x).hexdigest() for x in _joined(token, ids, edges)]
+                columns = [batch.column("doc_id").slice(a, b - a), pa.array(sizes[a:b], pa.int64()), pa.array(named, pa.string()), pa.array(plain, pa.string())]
+                yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -5,9 +5,11 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import public_tokenizers
@@ -370,6 +372,30 @@ def test_decode_gives_the_texts(odd, empty):
 
 def test_shards(documents, odd, empty):
     for docs, shards in ((documents, 40), (documents, 3), (odd, 4)):
+@pytest.mark.parametrize("at_once", [3, 1 << 20])
+def test_digests_of_slices(spark, monkeypatch, at_once):
+    monkeypatch.setattr(bpe, "DIGEST_IDS", at_once)
+    table = {rank: token for token, rank in bpe.load_ranks(bpe.RANKS).items()}
+    ids = [[], [5], None, [0, 1, 2, 3, 4, 5, 6], [], [49000, 7], [max(table)], []]
+    got = bpe.digests(spark.createDataFrame(list(enumerate(ids)), "doc_id long, ids array<int>").coalesce(1)).collect()
+    own = [x or [] for x in ids]
+    assert [tuple(r) for r in sorted(got)] == [
+        (i, len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(b"".join(table[t] for t in x)).hexdigest()) for i, x in enumerate(own)
+    ]
+
+
+def test_digests_read_arrow_not_numbers_one_by_one(spark, monkeypatch):
+    ids = np.random.default_rng(5).integers(0, 50_000, 3_000_000).tolist()
+    encoded = spark.createDataFrame([(1, ids)], "doc_id long, ids array<int>").cache()
+    encoded.count()
+    bpe.digests(encoded).collect()
+    began = time.perf_counter()
+    want = hashlib.sha256(",".join([str(x.as_py()) for x in pa.array(ids, pa.int32())]).encode()).hexdigest()
+    plain, began = time.perf_counter() - began, time.perf_counter()
+    assert bpe.digests(encoded).first()["ids_sha256"] == want
+    assert time.perf_counter() - began < plain
+
+
         texts = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()]
         got = sharding.shard_report(docs, shards).collect()
         assert sorted(map(str, ((r.doc_id, r.size, r.text_crc32) for r in got))) == sorted(map(str, ((i, len(t) + 16, zlib.crc32(t)) for i, t in texts)))
