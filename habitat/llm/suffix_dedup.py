@@ -31,6 +31,8 @@ from habitat.llm.grouping import suffix_orders
 LENGTH, KMER = 100, 32
 #: Strings whose anchors are compared at a time; 23 bits hold their places.
 CHUNK, PLACE_BITS = 4 << 20, 23
+#: Bytes of short texts whose anchors are found side by side.
+BESIDE = 256 << 10
 #: Slices in a block, and bytes of slices for a task's group.
 BLOCK, GROUP_BYTES = 32, 4 << 20
 #: Cells that are sorted side by side.
@@ -51,20 +53,25 @@ def _kmer_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _anchor_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each string of KMER bytes, and for each of LENGTH bytes the place of the least of them in it."""
+    key = _kmer_hashes(data)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    least, s, width = (key & ~low) | np.arange(len(key), dtype=np.uint64), 1, LENGTH - KMER + 1
+    while 2 * s <= width:
+        least = np.minimum(least[:-s], least[s:])
+        s *= 2
+    if s < width:
+        least = np.minimum(least[:s - width], least[width - s:])
+    return key, (least & low).astype(np.int64)
+
+
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, place, first, last) of each anchor: ``first`` and ``last`` are the starts of the strings that it anchors."""
     parts = []
     for a in range(0, len(data) - LENGTH + 1, CHUNK):
         own = np.frombuffer(data, dtype=np.uint8)[a:a + CHUNK + LENGTH - 1]
-        key = _kmer_hashes(own)
-        low = np.uint64((1 << PLACE_BITS) - 1)
-        least, s, width = (key & ~low) | np.arange(len(key), dtype=np.uint64), 1, LENGTH - KMER + 1
-        while 2 * s <= width:
-            least = np.minimum(least[:-s], least[s:])
-            s *= 2
-        if s < width:
-            least = np.minimum(least[:s - width], least[width - s:])
-        place = (least & low).astype(np.int64)
+        key, place = _anchor_places(own)
         edge = np.flatnonzero(np.diff(place)) + 1
         first, last = np.append(0, edge), np.append(edge - 1, len(place) - 1)
         parts.append((key[place[first]].astype(np.int64), place[first] + a, first + a, last + a))
@@ -73,10 +80,37 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
+def _all_anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, key, place, first, last) of the anchors of several texts, those of ``anchors``; short texts are handled side by side."""
+    a = 0
+    while a < len(texts):
+        b, size = a, 0
+        while b < len(texts) and (b == a or size + len(texts[b]) <= BESIDE):
+            size += len(texts[b])
+            b += 1
+        sizes = np.fromiter(map(len, texts[a:b]), dtype=np.int64, count=b - a)
+        if size > BESIDE:
+            key, place, first, last = anchors(texts[a])
+            yield np.full(len(key), a), key, place, first, last
+        elif size >= LENGTH:
+            key, place = _anchor_places(np.frombuffer(b"".join(texts[a:b]), dtype=np.uint8))
+            ends = np.cumsum(sizes)
+            text = np.repeat(np.arange(b - a), sizes)[:len(place)]
+            # Strings that lie in one text.
+            start = np.flatnonzero(np.arange(len(place)) + LENGTH <= ends[text])
+            if len(start):
+                edge = np.flatnonzero(np.diff(place[start])) + 1
+                first, last = start[np.append(0, edge)], start[np.append(edge - 1, len(start) - 1)]
+                text, place = text[first], place[first]
+                begin = (ends - sizes)[text]
+                yield text + a, key[place].astype(np.int64), place - begin, first - begin, last - begin
+        a = b
+
+
 def _keys(texts: DataFrame) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [anchors(t)[0] for t in batch.column("data").to_pylist()]
-        return pa.record_batch([pa.array(np.concatenate(found))], ["key"])
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        found = [key for _, key, _, _, _ in _all_anchors(batch.column("data").to_pylist())]
+        return pa.record_batch([pa.array(np.concatenate(found))], ["key"]) if found else None
 
     return map_slices(texts.select("data"), run, "key long", text="data")
 
@@ -84,14 +118,15 @@ def _keys(texts: DataFrame) -> DataFrame:
 def _slices(texts: DataFrame) -> DataFrame:
     """(key, slice, doc, first, last): the slice by a hash of its bytes and of the anchor's place in them."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns: list[list[np.ndarray]] = [[], [], [], [], []]
-        for doc, data in zip(batch.column("doc").to_pylist(), batch.column("data").to_pylist()):
-            key, place, first, last = anchors(data)
-            digest = [xxhash.xxh3_64_intdigest(data[a:b + LENGTH], p) for a, b, p in zip(first.tolist(), last.tolist(), (place - first).tolist())]
-            for column, values in zip(columns, (key, np.array(digest, dtype=np.uint64).astype(np.int64), np.full(len(key), doc), first, last)):
-                column.append(values)
-        return pa.record_batch([pa.array(np.concatenate(c)) for c in columns], ["key", "slice", "doc", "first", "last"])
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        own, found = batch.column("data").to_pylist(), []
+        docs = np.array(batch.column("doc").to_pylist(), dtype=np.int64)
+        for text, key, place, first, last in _all_anchors(own):
+            ends, seeds = (last + LENGTH).tolist(), (place - first).tolist()
+            digest = [xxhash.xxh3_64_intdigest(own[t][a:b], p) for t, a, b, p in zip(text.tolist(), first.tolist(), ends, seeds)]
+            found.append((key, np.array(digest, dtype=np.uint64).astype(np.int64), docs[text], first, last))
+        columns = [pa.array(np.concatenate(c)) for c in zip(*found)]
+        return pa.record_batch(columns, ["key", "slice", "doc", "first", "last"]) if found else None
 
     return map_slices(texts, run, "key long, slice long, doc long, first long, last long", text="data")
 

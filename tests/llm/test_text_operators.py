@@ -282,6 +282,16 @@ def test_chunks_of_long_texts(monkeypatch):
     assert spread(whole) == spread(parts)
 
 
+@pytest.mark.parametrize("beside", [150, 1000, 1 << 18])
+def test_anchors_of_texts_side_by_side(monkeypatch, beside):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab c") for _ in range(n)).encode() for n in [0, 99, 100, 131, 1500, 0, 101, 100, 700, 250, 5, 3000, 99]]
+    monkeypatch.setattr(suffix_dedup, "BESIDE", beside)
+    got = [row for each in suffix_dedup._all_anchors(texts) for row in zip(*(c.tolist() for c in each))]
+    assert got == [(i, *row) for i, t in enumerate(texts) for row in zip(*(c.tolist() for c in suffix_dedup.anchors(t)))]
+    assert not list(suffix_dedup._all_anchors([])) and not list(suffix_dedup._all_anchors([b"", b"x" * 99]))
+
+
 def test_suffix_orders():
     rng = np.random.default_rng(6)
     for _ in range(150):
