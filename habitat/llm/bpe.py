@@ -30,11 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from habitat.llm.common import map_slices, slices, whole_text
+from habitat.llm.common import give_back, giving_back, slices, whole_text
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: A block ends at so many distinct words or pre-tokens.
 BLOCK_WORDS, BLOCK_TOKENS = 300_000, 6_000_000
+#: Text whose pre-tokens are Python strings at the same time.
+FOUND_BYTES = 1 << 20
 #: Text for each group of distinct words that are encoded together.
 GROUP_BYTES = 16 << 20
 #: Ids whose digests are taken at a time; a document's own stay together.
@@ -122,12 +124,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[tuple[in
         return int(np.uint64(name).astype(np.int64)), words, (hashes % np.uint64(groups)).astype(np.uint32), chunks
 
     for batch in batches:
-        for piece in slices(batch, "text"):
+        for piece in slices(batch, "text", FOUND_BYTES):
             found = [words_of(t) for t in piece.column("text").to_pylist()]
             counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
             seq = np.fromiter(map(numbers.__getitem__, itertools.chain.from_iterable(found)), dtype=np.uint32, count=int(counts.sum()))
             chunks.append((piece.column("doc_id").to_pylist(), counts, _pack(seq)))
             tokens += len(seq)
+            del found, seq
             if len(numbers) >= BLOCK_WORDS or tokens >= BLOCK_TOKENS:
                 yield close()
                 numbers, chunks, tokens, k = _Numbers(), [], 0, k + 1
@@ -150,13 +153,13 @@ def _distinct_words(texts: DataFrame, groups: int) -> DataFrame:
             if data:
                 yield pa.record_batch([pa.array([block] * len(data), pa.int64()), pa.array(parts.astype(np.int64)), pa.array(data, pa.binary())], ["block", "part", "words"])
 
-    return texts.mapInArrow(run, "block long, part long, words binary")
+    return texts.mapInArrow(giving_back(run), "block long, part long, words binary")
 
 
 def _encode_words(distinct: DataFrame, ranks: str) -> DataFrame:
     """(block, part, ids): each distinct word of a group is encoded once, for all blocks that have it."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def encoded(table: pa.Table) -> pa.Table:
         table_of, known, out = load_ranks(ranks), {}, []
         for data in table.column("words").to_pylist():
             cut = 4 + int.from_bytes(data[:4], "little")
@@ -174,6 +177,11 @@ def _encode_words(distinct: DataFrame, ranks: str) -> DataFrame:
             out.append(len(sizes).to_bytes(4, "little") + sizes + _pack(np.array(flat, dtype=np.uint32)))
         return pa.table([table.column("block"), table.column("part"), pa.array(out, pa.binary())], ["block", "part", "ids"])
 
+    def run(table: pa.Table) -> pa.Table:
+        out = encoded(table)
+        give_back()
+        return out
+
     return distinct.groupBy("part").applyInArrow(run, "block long, part long, ids binary")
 
 
@@ -187,7 +195,7 @@ def _sequences(texts: DataFrame, groups: int) -> DataFrame:
             rows = [(block, _pack(group), [], [], b"")] + [(block, None, ids, counts, seq) for ids, counts, seq in chunks]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return texts.mapInArrow(run, "block long, parts binary, docs array<long>, counts array<long>, seq binary")
+    return texts.mapInArrow(giving_back(run), "block long, parts binary, docs array<long>, counts array<long>, seq binary")
 
 
 def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
@@ -201,7 +209,7 @@ def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     groups = max(64, size // GROUP_BYTES)
     encoded = _encode_words(_distinct_words(texts, groups), ranks)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def ids_of(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
         parts = [p for p in left.column("parts").to_pylist() if p is not None]
         if not parts:
@@ -224,6 +232,7 @@ def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
         start = np.empty(len(group), dtype=np.int64)
         start[order] = np.cumsum(size[order]) - size[order]
         names, bounds, pieces, used = [], [0], [], 0
+        del answers
         for ids, counts, seq in zip(*(left.column(c).to_pylist() for c in ("docs", "counts", "seq"))):
             if not ids:
                 continue
@@ -235,10 +244,17 @@ def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
             names += ids
             bounds += edge.tolist()
             used = bounds[-1]
+        del flat, start, size, group, order
         values = pa.array(np.concatenate(pieces) if pieces else np.zeros(0, dtype=np.int32))
+        del pieces
         # Arrays of 32-bit offsets; a block's ids stay far below their range.
         return pa.table([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)], schema=schema)
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = ids_of(left, right)
+        give_back()
+        return out
+
     return _sequences(texts, groups).groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -259,7 +275,7 @@ def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
             data = [b"".join(map(token, ids or [])) for ids in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "data"])
 
-    return encoded.mapInArrow(run, "doc_id long, data binary")
+    return encoded.mapInArrow(giving_back(run), "doc_id long, data binary")
 
 
 def _joined(table: pa.Array, ids: pa.Array, edges: np.ndarray) -> list[memoryview]:
@@ -291,4 +307,4 @@ def digests(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
                 columns = [batch.column("doc_id").slice(a, b - a), pa.array(sizes[a:b], pa.int64()), pa.array(named, pa.string()), pa.array(plain, pa.string())]
                 yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(giving_back(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -16,7 +16,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from habitat.llm import bpe, grouping, mixing, near_dedup, quality, secrets, sharding, suffix_dedup, toxicity
+from habitat.llm import bpe, common, grouping, mixing, near_dedup, quality, secrets, sharding, suffix_dedup, toxicity
 from habitat.llm.automata import infer
 
 
@@ -404,6 +404,19 @@ def test_decode_gives_the_texts(odd, empty):
 
 # --- shards ---------------------------------------------------------------------------------
 
+
+def test_bpe_holds_the_words_of_little_text_and_returns_memory(monkeypatch):
+    """However much text a partition has, few of its words are strings at once, and the worker gives back what it freed."""
+    texts = ["ab cd " * 20_000] * 60
+    batch = pa.record_batch([pa.array(range(60), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    _, _, _, chunks = next(bpe._blocks(iter([batch]), 64))
+    assert sum(len(ids) for ids, _, _ in chunks) == 60
+    assert max(len(ids) for ids, _, _ in chunks) * len(texts[0]) <= (1 << 20) + len(texts[0])
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    assert list(common.giving_back(lambda batches: batches)(iter([1, 2]))) == [1, 2] and calls == [1]
+
+
 def test_shards(documents, odd, empty):
     for docs, shards in ((documents, 40), (documents, 3), (odd, 4)):
         texts = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()]
