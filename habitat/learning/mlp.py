@@ -1,9 +1,10 @@
 """Residual network: d -> hidden, residual ReLU layers, -> 1 logit.
 
 Scoring is an Arrow UDF over plain feature columns. Training is data-parallel:
-in each round every partition runs mini-batch Adam from the shared state and
-returns its state and row count in chunks; chunks are averaged in two grouped
-steps, so the driver only ever sees one state, whose size is fixed by the
+in each round every partition runs mini-batch Adam from the shared state over
+its packed rows and returns its state and row count. The states of few partitions
+are averaged on the driver, so a round is one stage and writes no shuffle files; those of
+many are added in groups of neighbours first. A state's size is fixed by the
 architecture. With one partition this is ordinary mini-batch Adam.
 """
 
@@ -14,14 +15,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from habitat.learning.mlp_many import in_order
+
 HIDDEN, RESIDUAL_LAYERS = 250, 2
 LOSSES = ("bce", "eps")
 # A state of more numbers than this is refused: it has to pass the driver.
 MAX_STATE = 20_000_000
-CHUNK = 4096
+# Rows that are packed into one block.
+BLOCK = 1 << 15
 
 
 @dataclass
@@ -113,14 +119,22 @@ def _local_epoch(
     """Mini-batch Adam over the rows of one partition; state is weights, m, v."""
     size = len(state) // 3
     theta, m, v = (state[i * size : (i + 1) * size].copy() for i in range(3))
-    total, rows = 0.0, 0
+    total, rows, wide = 0.0, 0, np.empty(size)
     for x, y in batches:
         steps += 1
         value, g = gradient(unflatten(theta, shapes), x, y, loss)
-        g = g + decay * theta
-        m = 0.9 * m + 0.1 * g
-        v = 0.999 * v + 0.001 * g * g
-        theta = theta - lr * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.999**steps)) + 1e-8)
+        # In place: the state is far larger than a batch.
+        g += np.multiply(theta, decay, out=wide)
+        m *= 0.9
+        m += np.multiply(g, 0.1, out=wide)
+        v *= 0.999
+        g *= g
+        g *= 0.001
+        v += g
+        np.sqrt(np.divide(v, 1 - 0.999**steps, out=wide), out=wide)
+        wide += 1e-8
+        np.divide(np.multiply(m, lr / (1 - 0.9**steps), out=g), wide, out=g)
+        theta -= g
         total, rows = total + value, rows + len(y)
     return np.concatenate([theta, m, v]), total, rows
 
@@ -166,18 +180,19 @@ def fit_residual_mlp(
 
     partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
     order = F.xxhash64(F.lit(seed), F.col(key))
-    data = (
-        df.select(order.alias("_o"), F.col(label).cast("double").alias("_y"), *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
+    rows = (
+        df.select(order.alias("_o"), F.col(label).cast("double").alias("_y"), *[F.col(f"`{f}`").cast("double").alias(f"_{i}") for i, f in enumerate(features)])
         .repartition(partitions, "_o")
         .sortWithinPartitions("_o")
-        .persist()
+        .drop("_o")
     )
-    fan = max(1, int(np.sqrt(partitions)))
+    data = _packed(rows).persist(StorageLevel.MEMORY_AND_DISK)
     best, best_score, stale, history, steps = (state, np.inf, -np.inf), -np.inf, 0, [], 0
     lowest = np.inf
     try:
+        taken = _most_steps(data, len(features) + 1, batch)
         for epoch in range(epochs):
-            state, value, taken = _round(data, features, shapes, state, steps, loss, lr, decay, batch, fan)
+            state, value = _round(data, len(features), shapes, state, steps, loss, lr, decay, batch)
             steps += taken
             history.append(value)
             score = select_by(unflatten(state[: len(state) // 3], shapes)) if select_by else -value
@@ -195,59 +210,53 @@ def fit_residual_mlp(
     return Training(kept, len(history), best[1], history)
 
 
-def _round(data, features, shapes, state, steps, loss, lr, decay, batch, fan):
+def _packed(rows: DataFrame) -> RDD:
+    """The rows, label first, as blocks of numbers in the order of each partition."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            blocks = [table[i : i + BLOCK].tobytes() for i in range(0, len(table), BLOCK)]
+            yield pa.record_batch([pa.array(blocks, pa.binary())], ["rows"])
+
+    return rows.mapInArrow(pack, "rows binary").rdd.map(lambda r: bytes(r["rows"]))
+
+
+def _most_steps(data: RDD, width: int, batch: int) -> int:
+    """Batches of the partition that has the most."""
+    rows = data.mapPartitions(lambda blocks: [sum(len(b) // (8 * width) for b in blocks)])
+    return -(-rows.max() // batch)
+
+
+def _batches(blocks: Iterator[bytes], width: int, batch: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features and labels of ``batch`` rows at a time, across blocks; fewer at the end."""
+    rest = np.empty((0, width))
+    for block in blocks:
+        rest = np.vstack([rest, np.frombuffer(block).reshape(-1, width)])
+        whole = len(rest) // batch * batch
+        for i in range(0, whole, batch):
+            yield rest[i : i + batch, 1:], rest[i : i + batch, 0]
+        rest = rest[whole:]
+    if len(rest):
+        yield rest[:, 1:], rest[:, 0]
+
+
+def _round(data, inputs, shapes, state, steps, loss, lr, decay, batch):
     """One pass over the data: local epochs, then a weighted mean of their states."""
-    shared = data.sparkSession.sparkContext.broadcast(state)
-    chunks = -(-len(state) // CHUNK)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def batches():
-            rest = np.empty((0, len(features) + 1))
-            for pdf in parts:
-                rest = np.vstack([rest, pdf[["_y", *features]].to_numpy(dtype=float)])
-                while len(rest) >= batch:
-                    yield rest[:batch, 1:], rest[:batch, 0]
-                    rest = rest[batch:]
-            if len(rest):
-                yield rest[:, 1:], rest[:, 0]
-
-        out, total, rows = _local_epoch(shared.value, shapes, steps, batches(), loss, lr, decay)
-        if not rows:
-            return
-        padded = np.zeros(chunks * CHUNK)
-        padded[: len(out)] = out * rows
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        yield pd.DataFrame(
-            {
-                "chunk": np.arange(chunks),
-                "part": part,
-                "total": total,
-                "n": rows,
-                "taken": -(-rows // batch),
-                "sums": [padded[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in range(chunks)],
-            }
-        )
-
-    schema = "chunk int, part int, total double, n long, taken long, sums binary"
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        sums = np.sum([np.frombuffer(b) for b in pdf["sums"]], axis=0)
-        first = pdf.iloc[:1]
-        return first.assign(
-            total=pdf["total"].sum(), n=pdf["n"].sum(), taken=pdf["taken"].max(), sums=[sums.tobytes()]
-        )
-
-    local = data.mapInPandas(run, schema)
-    lanes = local.withColumn("lane", F.pmod("part", F.lit(fan)))
-    halfway = lanes.groupBy("chunk", "lane").applyInPandas(lambda k, pdf: add(pdf.drop(columns="lane")), schema)
-    rows = halfway.groupBy("chunk").applyInPandas(add, schema).orderBy("chunk").collect()
+    shared = data.context.broadcast(state)
+
+    def run(blocks: Iterator[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+        out, total, rows = _local_epoch(shared.value, shapes, steps, _batches(blocks, inputs + 1, batch), loss, lr, decay)
+        if rows:
+            yield rows, np.append(out * rows, total)
+
+    found = in_order(data.mapPartitions(run))
     shared.unpersist()
-    n = rows[0]["n"]
-    merged = np.concatenate([np.frombuffer(r["sums"]) for r in rows])[: len(state)] / n
-    return merged, rows[0]["total"] / n, rows[0]["taken"]
+    if not found:
+        raise ValueError("no rows to learn from")
+    n = sum(rows for rows, _ in found)
+    sums = sum(total for _, total in found)
+    return sums[:-1] / n, sums[-1] / n
 
 
 def score_column(net: Network, features: list[str], output: str = "probability") -> Column:

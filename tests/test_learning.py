@@ -114,6 +114,42 @@ def test_training_learns_and_repeats(spark, data, loss, partitions):
     assert np.allclose(run.network.flat(), again.network.flat())
 
 
+def test_a_round_of_training_is_one_stage(spark, data):
+    """No shuffle files are written round by round, and batches run across blocks."""
+    sc, seen = spark.sparkContext, []
+
+    def judge(net):
+        jobs = sc.statusTracker().getJobIdsForGroup("rounds")
+        seen.append({j: len(sc.statusTracker().getJobInfo(j).stageIds) for j in jobs})
+        return 0.0
+
+    sc.setJobGroup("rounds", "rounds")
+    try:
+        mlp.fit_residual_mlp(data, NAMES, hidden=4, epochs=3, partitions=2, select_by=judge)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    last = sorted(set(seen[2]) - set(seen[1]))
+    # The shuffle of the rows before the first round is a stage that is skipped.
+    assert len(last) == 1 and seen[2][last[0]] <= 2
+    blocks = [np.arange(n * 2.0).tobytes() for n in (3, 0, 7, 1)]
+    sizes = [len(y) for _, y in mlp._batches(iter(blocks), 2, 4)]
+    assert sizes == [4, 4, 3]
+
+
+def test_steps_in_place_are_those_of_adam():
+    rng = np.random.default_rng(1)
+    net = mlp.new_network(3, hidden=4, residual=1, seed=5)
+    x, y = rng.normal(size=(8, 3)), rng.integers(0, 2, 8).astype(float)
+    state = np.concatenate([net.flat(), np.zeros(2 * len(net.flat()))])
+    theta, m, v = np.split(state.copy(), 3)
+    for t in (1, 2):
+        g = mlp.gradient(mlp.unflatten(theta, net.shapes), x, y, "bce")[1] + 0.01 * theta
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        theta = theta - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    got, _, rows = mlp._local_epoch(state, net.shapes, 0, [(x, y), (x, y)], "bce", 0.1, 0.01)
+    assert rows == 16 and np.allclose(got, np.concatenate([theta, m, v]), rtol=1e-12, atol=1e-15)
+
+
 def test_early_stop_and_choice_by_metric(spark, data):
     run = mlp.fit_residual_mlp(data, NAMES, hidden=4, epochs=30, patience=1, lr=0.0, partitions=1)
     assert run.epochs == 2
