@@ -1,6 +1,8 @@
 """Occurrence files of many headers; stored models and splits."""
 
 import datetime as dt
+import glob
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from habitat.config import LogitParams
 from habitat.learning.logit import fit_logit, predict_probability
 from habitat.operators.splits import split_rows
+from habitat.session import CLEANUP, cut_lineage
 from habitat.sources import tables
 
 COLUMNS = ["occurrenceStatus", "year", "eventDate", "species", "decimalLatitude", "decimalLongitude"]
@@ -84,3 +87,18 @@ def test_stages_keep_their_types(spark, tmp_path):
     df = spark.createDataFrame([(1, dt.date(2024, 1, 2), 0.1), (2, None, None)], "k long, day date, v double")
     tables.write_stage(df, str(tmp_path / "s.csv"), fmt="csv")
     assert sorted(map(tuple, tables.read_stage(spark, str(tmp_path / "s.csv"), df.schema).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    folders = list(spark._jsc.sc().env().blockManager().diskBlockManager().localDirsString())
+
+    def files():
+        return {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+
+    before, setting = files(), spark.conf.get(CLEANUP, None)
+    table = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(100):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and table.count() == 7 and spark.conf.get(CLEANUP, None) == setting
