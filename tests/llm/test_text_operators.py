@@ -196,6 +196,46 @@ def test_documents_of_many_buckets_are_labelled_once(spark):
     assert 0 < made <= 3 * len(rows)
 
 
+def rows_made(spark, before, pattern):
+    """Rows out of the plan nodes that match, over all executions after the first ``before``."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    made = 0
+    for i in range(before, store.executionsCount()):
+        run = store.executionsList().apply(i).executionId()
+        metrics, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            if re.search(pattern, node.desc()):
+                values = [metrics.get(m.accumulatorId()) for m in map(node.metrics().apply, range(node.metrics().size())) if m.name() == "number of output rows"]
+                made += sum(int(v.get().replace(",", "")) for v in values if v.isDefined())
+    return made
+
+
+def test_shingles_of_one_component_make_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "FEW", 30)
+    rng = random.Random(14)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 151):
+        # Too far from the base and from each other for a link; what they have outside of it is their own.
+        edited = rng.sample(range(8, 190, 6), 5)
+        rows.append((i, " ".join(f"own{i}x{k}" if k in edited else w for k, w in enumerate(base))))
+    rows += [(1000, rows[7][1] + " tail")]
+    before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(plain_components(rows, 5, 80))
+    assert rows_made(spark, before, r"^Generate explode\(fresh") <= 2 * len(rows)
+
+
+@pytest.mark.parametrize("cells", [1, 16])
+def test_full_cells_lose_no_link(spark, monkeypatch, cells):
+    monkeypatch.setattr(near_dedup, "FEW", 0)
+    monkeypatch.setattr(near_dedup, "CELLS", 8 * cells)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rows = near_texts()[::2]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(plain_components(rows, 5, 80))
+
+
 def test_temporary_columns_clash_with_none(odd):
     names = ["__gone", "__at", "__passes", "__below", "__copies", "__copy", "__key", "__id", "__slot", "__SHARD"]
     odd = odd.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
