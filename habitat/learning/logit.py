@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from habitat.config import LOGIT_GRID, LogitParams
@@ -124,6 +124,15 @@ def _held_out(models: np.ndarray, features: list[str]) -> Column:
     return score("fold", *[F.col(f"`{f}`").cast("double") for f in features])
 
 
+#: Scores that one task of a search orders.
+SCORES = 250_000
+
+
+def score_parts(spark: SparkSession, scores: int) -> int:
+    """Tasks for so many scores: what a task holds does not grow with the input."""
+    return max(spark.sparkContext.defaultParallelism, -(-scores // SCORES))
+
+
 def grid_search(
     df: DataFrame,
     features: list[str],
@@ -174,10 +183,12 @@ def grid_search(
             models.setdefault(each.tobytes(), each)
             model_of.append(list(models).index(each.tobytes()))
         held_out = _held_out(np.stack(list(models.values())), features)
-        scores = data.select(label, "fold", F.posexplode(held_out).alias("setting", "p"))
+        parts = score_parts(df.sparkSession, len(models) * sum(r["n"] for r in sizes))
+        # The rows are dealt as well, since each becomes a score per model.
+        scores = data.repartition(parts, key).select(label, "fold", F.posexplode(held_out).alias("setting", "p"))
         metric = {"boyce": boyce_index, "roc_auc": roc_auc}[scorer]
         value = {"boyce": "boyce", "roc_auc": "auc"}[scorer]
-        means = metric(scores, "p", label, by=["setting", "fold"]).groupBy("setting").agg(F.avg(value).alias("score")).collect()
+        means = metric(scores, "p", label, by=["setting", "fold"], parts=parts).groupBy("setting").agg(F.avg(value).alias("score")).collect()
         by_model = {r["setting"]: r["score"] for r in means}
         result = sorted(
             ({"setting": i, "score": by_model[m]} for i, m in enumerate(model_of)),

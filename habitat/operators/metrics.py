@@ -31,16 +31,23 @@ def correlation(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def score_counts(df: DataFrame, p: str, label: str, by: list[str]) -> DataFrame:
-    """Presences ``_one`` and backgrounds ``_zero`` per group and score ``_p``; rows without a score are left out."""
-    return (
-        df.filter(F.col(p).isNotNull())
-        .groupBy(*by, (F.col(p).cast("double") + 0.0).alias("_p"))
-        .agg(F.sum((F.col(label) == 1).cast("long")).alias("_one"), F.sum((F.col(label) == 0).cast("long")).alias("_zero"))
+def score_counts(df: DataFrame, p: str, label: str, by: list[str], parts: int | None = None) -> DataFrame:
+    """Presences ``_one`` and backgrounds ``_zero`` per group, bucket ``_b`` and score ``_p``; rows without a score are left out.
+
+    ``parts`` deals the scores into so many tasks, for callers that know their number; equal scores then
+    meet as rows. Without it they are counted before they move.
+    """
+    score = F.col(p).cast("double") + 0.0
+    scored = df.filter(F.col(p).isNotNull()).select(
+        *by, score.alias("_p"), (F.col(label) == 1).cast("long").alias("_one"), (F.col(label) == 0).cast("long").alias("_zero")
     )
+    scored = scored.withColumn("_b", _bucket(F.col("_p"))).withColumn("_c", F.floor(F.col("_b") / 1024))
+    if parts:
+        scored = scored.repartition(parts, *by, "_c")
+    return scored.groupBy(*by, "_c", "_b", "_p").agg(F.sum("_one").alias("_one"), F.sum("_zero").alias("_zero"))
 
 
-def boyce_index(df: DataFrame, p: str = "p", label: str = "label", bins: int = 10, by: list[str] | None = None) -> DataFrame:
+def boyce_index(df: DataFrame, p: str = "p", label: str = "label", bins: int = 10, by: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """Boyce index per group, as column ``boyce``.
 
     Equal-width bins over all scores of the group, the last one closed. Correlation
@@ -49,7 +56,7 @@ def boyce_index(df: DataFrame, p: str = "p", label: str = "label", bins: int = 1
     ratio is the same in all of them.
     """
     by = list(by or [])
-    return _boyce(score_counts(df, p, label, by), bins, by)
+    return _boyce(score_counts(df, p, label, by, parts).drop("_b", "_c"), bins, by)
 
 
 def _boyce(counts: DataFrame, bins: int, by: list[str]) -> DataFrame:
@@ -115,33 +122,27 @@ def _bucket(p: Column) -> Column:
     )
 
 
-def roc_auc(df: DataFrame, p: str = "p", label: str = "label", by: list[str] | None = None) -> DataFrame:
+def roc_auc(df: DataFrame, p: str = "p", label: str = "label", by: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """Area under the ROC curve per group, as column ``auc``; ties count one half.
 
-    A group with one class only gives 0. Background counts below a score are built
-    up in three levels: coarse buckets, the buckets of one coarse bucket, and the
-    scores of one bucket.
+    A group with one class only gives 0. Wins over lower background are summed in three
+    levels, each from the sums of the one before: the scores of one bucket, the buckets of
+    one coarse bucket, and the coarse buckets. ``parts`` as in ``score_counts``.
     """
     by = list(by or [])
-    return _auc(score_counts(df, p, label, by), by)
+    return _auc(score_counts(df, p, label, by, parts), by)
 
 
 def _auc(counts: DataFrame, by: list[str]) -> DataFrame:
-    counts = counts.withColumn("_b", _bucket(F.col("_p"))).withColumn("_c", F.floor(F.col("_b") / 1024))
-
-    def before(value: str, group: list[str], order: str) -> Column:
+    def level(rows: DataFrame, group: list[str], order: str) -> DataFrame:
         window = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum(value).over(window), F.lit(0))
-
-    buckets = counts.groupBy(*by, "_c", "_b").agg(F.sum("_zero").alias("_z"))
-    coarse = buckets.groupBy(*by, "_c").agg(F.sum("_z").alias("_zc"))
-    coarse = coarse.select(*by, "_c", before("_zc", by, "_c").alias("_base"))
-    buckets = buckets.select(*by, "_c", "_b", before("_z", [*by, "_c"], "_b").alias("_inner")).join(coarse, [*by, "_c"])
-    ranked = counts.withColumn("_before", before("_zero", [*by, "_b"], "_p")).drop("_c")
-    ranked = ranked.join(buckets.drop("_c"), [*by, "_b"])
-    wins = F.col("_one") * (F.col("_base") + F.col("_inner") + F.col("_before") + F.col("_zero") / 2)
-    out = ranked.groupBy(*by).agg(F.sum(wins).alias("_w"), F.sum("_one").alias("_o"), F.sum("_zero").alias("_n"))
-    pairs = F.col("_o").cast("double") * F.col("_n")
+        wins = F.col("_w") + F.col("_one") * F.coalesce(F.sum("_zero").over(window), F.lit(0))
+        won = rows.withColumn("_w", wins)
+        return won.groupBy(*group).agg(F.sum("_w").alias("_w"), F.sum("_one").alias("_one"), F.sum("_zero").alias("_zero"))
+
+    scores = counts.withColumn("_w", F.col("_one") * F.col("_zero") / 2)
+    out = level(level(level(scores, [*by, "_c", "_b"], "_p"), [*by, "_c"], "_b"), by, "_c")
+    pairs = F.col("_one").cast("double") * F.col("_zero")
     return out.select(*by, F.coalesce(F.try_divide(F.col("_w"), pairs), F.lit(0.0)).alias("auc"))
 
 
@@ -157,7 +158,7 @@ def evaluate(df: DataFrame, p: str = "p", label: str = "label", by: list[str] |
     """Both metrics and their mean per group, from one table of counts per score."""
     by = list(by or [])
     counts = score_counts(df, p, label, by)
-    return merged_metric(_with_groups(_auc(counts, by), _boyce(counts, 10, by), by))
+    return merged_metric(_with_groups(_auc(counts, by), _boyce(counts.drop("_b", "_c"), 10, by), by))
 
 
 def ensemble_mean(scores: DataFrame, key: list[str], p: str = "p", name: str = "probability") -> DataFrame:

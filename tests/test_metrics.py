@@ -115,3 +115,17 @@ def test_no_window_spans_a_group_of_raw_scores(spark):
     plan = metrics.roc_auc(df, by=["g"])._jdf.queryExecution().optimizedPlan().toString()
     specs = [line for line in plan.splitlines() if "Window" in line]
     assert len(specs) == 3 and all("_b#" in line or "_c#" in line for line in specs)
+
+
+def test_scores_dealt_by_their_number(spark):
+    """As many tasks as asked for order the scores, and the metrics stay the same."""
+    data = dict(cases())
+    df = spark.createDataFrame([(name, float(p), y) for name, values in data.items() for p, y in values], "g string, p double, label int")
+    for metric in (metrics.roc_auc, metrics.boyce_index):
+        dealt = metric(df, by=["g"], parts=37)
+        assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+        name = dealt.columns[-1]
+        got, plain = ({r.g: r[name] for r in df_.collect()} for df_ in (dealt, metric(df, by=["g"])))
+        assert got == pytest.approx(plain, abs=1e-12, nan_ok=True) and set(got) == set(data)
+    plan = metrics.roc_auc(df, by=["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
