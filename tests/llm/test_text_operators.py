@@ -2,11 +2,13 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import string
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from habitat.llm import bpe, common, grouping, mixing, near_dedup, quality, secrets, sharding, suffix_dedup, toxicity
-from habitat.llm.automata import infer
+from habitat.llm.automata import infer, merged
 
 
 
@@ -127,6 +129,42 @@ def test_precision_and_recall_of_formats(spark):
         assert hits >= recall * 200 and wrong <= 4, (labels, hits, wrong)
 
 
+def test_every_value_teaches(spark):
+    """More values than a bounded sample would hold: lengths and steps have the frequencies of all of them."""
+    rng = random.Random(8)
+    draw = lambda symbols, n: "".join(rng.choice(symbols) for _ in range(n))
+    values = {0: {"key" + draw("abc012", rng.randrange(8, 11)) for _ in range(1900)} | {"Z" * 30}, 3: {draw("aeinrst", rng.randrange(6, 9)) for _ in range(4000)} | {"q" * 40}}
+    taught = secrets.learn(spark.createDataFrame([(k, v) for k, own in values.items() for v in own], "kind int, value string"))
+    for k, own in values.items():
+        model, n = taught[k][0], len(own)
+        assert model.lengths == {size: c / n for size, c in Counter(map(len, own)).items()}
+        counts = [Counter() for _ in model.steps]
+        for v in own:
+            at = 0
+            for c in v:
+                counts[at][c] += 1
+                at = model.steps[at][c][0]
+            counts[at][""] += 1
+        for steps, end, seen in zip(model.steps, model.ends, counts):
+            shares = {c: math.log(0.98 * x / seen.total() + 0.02 / 69) for c, x in seen.items() if c}
+            assert {c: p for c, (_, p) in steps.items()} == pytest.approx(shares)
+            assert end == pytest.approx(math.log(0.98 * seen[""] / seen.total() + 0.02 / 69))
+
+
+@pytest.mark.parametrize("least", [1, 7])
+def test_prefixes_are_counted_across_ranges(spark, least):
+    rng = random.Random(3)
+    own = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(300)} | {"a" * 50 + "b" * i for i in range(20)})
+    counts = Counter(v[:d] for v in own for d in range(len(v) + 1))
+    index = {p: i for i, p in enumerate(sorted(p for p in counts if not p or counts[p[:-1]] >= least))}
+    often = {p for p in index if counts[p] >= least}
+    nexts = [{c: [index[p + c], counts[p + c]] for c in "ab" if p + c in index} for p in index]
+    want, _ = merged((nexts, [int(p in often and p in own) for p in index], [counts[p] if p in often else 0 for p in index]))
+    table = spark.createDataFrame([(0, -1, v) for v in own], "kind int, part int, value string")
+    got = secrets._states(table, {(0, -1): least})[0, -1]
+    assert got == [{c: t for c, (t, _) in s.items()} for s in want]
+
+
 def test_secrets_of_an_empty_table(empty):
     assert secrets.secret_report(empty).count() == 0 and secrets.redact(empty).count() == 0
 
