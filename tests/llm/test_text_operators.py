@@ -207,6 +207,42 @@ def near_texts():
     return rows
 
 
+def test_shingles_of_odd_texts():
+    """Sets of many texts at once: those of each text by itself, blanks and case apart, across chunks and in slices."""
+    rng = random.Random(1)
+    bits, blanks = [b"a", b"B", b"b", b"\xc3\xa9", b"cd", b"\xff", b"\x00", b"xyz"], [b"", b" ", b"\t\n", b"\x0b", b"\x1c", b"\x85", b"\xa0"]
+    texts = [b"".join(rng.choice(bits) + rng.choice(blanks) for _ in range(rng.choice([0, 1, 2, 3, 5, 50, 400]))) for _ in range(600)]
+    texts += [b"q" * 200_000, b" ".join(b"w%d" % i for i in range(30_000)), b"", b"x"]
+    for width in (3, 5):
+        got = near_dedup.shingles(pa.array([b"left", b"out", *texts], pa.binary()).slice(2), width)
+        of: dict = {}
+        for text, own in zip(texts, got, strict=True):
+            words = text.lower().split()
+            n = min(width, len(words))
+            want = {tuple(words[i:i + n]) for i in range(len(words) - n + 1)} if words else set()
+            assert len(own) == len(want) and (np.diff(own.astype(object)) > 0).all()
+            assert of.setdefault(frozenset(want), own.tolist()) == own.tolist()
+        assert len({tuple(v) for v in of.values()}) == len(of)
+
+
+def test_sketches_cost_little_more_than_words():
+    rng = np.random.default_rng(2)
+    vocabulary = [bytes(rng.integers(97, 123, 7, dtype=np.uint8)) for _ in range(5000)]
+    texts = pa.array([b" ".join(vocabulary[i] for i in rng.integers(0, 5000, 400)) for _ in range(500)], pa.binary())
+    hashes = {w: i for i, w in enumerate(vocabulary)}
+
+    def took(work):
+        best = []
+        for _ in range(4):
+            start = time.process_time()
+            work()
+            best.append(time.process_time() - start)
+        return min(best)
+
+    words = took(lambda: [list(map(hashes.__getitem__, t.lower().split())) for t in texts.to_pylist()])
+    assert took(lambda: near_dedup._minima(near_dedup.shingles(texts, 3))) < 3 * words
+
+
 @pytest.mark.parametrize("few,width,percent", [(48, 3, 85), (3, 3, 85), (0, 5, 80)])
 def test_near_duplicates_lose_no_link(spark, monkeypatch, few, width, percent):
     monkeypatch.setattr(near_dedup, "FEW", few)
