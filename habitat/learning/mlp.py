@@ -28,6 +28,8 @@ LOSSES = ("bce", "eps")
 MAX_STATE = 20_000_000
 # Rows that are packed into one block.
 BLOCK = 1 << 15
+# Numbers of the state that a step of Adam handles at a time.
+STRIP = 1 << 13
 
 
 @dataclass
@@ -95,22 +97,23 @@ def _loss_and_slope(z: np.ndarray, y: np.ndarray, loss: str) -> tuple[np.ndarray
 
 
 def gradient(net: Network, x: np.ndarray, y: np.ndarray, loss: str) -> tuple[float, np.ndarray]:
-    """Summed loss over the batch and the gradient of the mean loss."""
+    """Summed loss over the batch and the gradient of the mean loss, as precise as the weights; losses are double."""
     inputs, outs, z = _activations(net, x)
-    values, slope = _loss_and_slope(z, y, loss)
-    back = slope[:, None] / len(y)
-    grads: list[np.ndarray] = []
-    w, _ = net.layers[-1]
-    grads.append(np.concatenate([(inputs[-1].T @ back).ravel(), back.sum(0)]))
-    back = back @ w.T
-    for k in range(len(net.layers) - 2, 0, -1):
-        w, _ = net.layers[k]
-        through = back * (outs[k] > 0)
-        grads.append(np.concatenate([(inputs[k].T @ through).ravel(), through.sum(0)]))
-        back = through @ w.T + back
-    through = back * (outs[0] > 0)
-    grads.append(np.concatenate([(inputs[0].T @ through).ravel(), through.sum(0)]))
-    return float(values.sum()), np.concatenate(grads[::-1])
+    values, slope = _loss_and_slope(z.astype(float), y, loss)
+    kind = net.layers[0][0].dtype
+    out = np.empty(sum(w.size + b.size for w, b in net.layers), dtype=kind)
+    at = len(out)
+    back = (slope / len(y)).astype(kind)[:, None]
+    for k in range(len(net.layers) - 1, -1, -1):
+        w, b = net.layers[k]
+        through = back if k == len(net.layers) - 1 else back * (outs[k] > 0)
+        at -= w.size + b.size
+        np.matmul(inputs[k].T, through, out=out[at : at + w.size].reshape(w.shape))
+        np.sum(through, axis=0, out=out[at + w.size : at + w.size + b.size])
+        if k:
+            # The middle layers are residual.
+            back = through @ w.T if through is back else through @ w.T + back
+    return float(values.sum()), out
 
 
 def _local_epoch(
@@ -119,22 +122,28 @@ def _local_epoch(
     """Mini-batch Adam over the rows of one partition; state is weights, m, v."""
     size = len(state) // 3
     theta, m, v = (state[i * size : (i + 1) * size].copy() for i in range(3))
-    total, rows, wide = 0.0, 0, np.empty(size)
+    net, total, rows, wide = unflatten(theta, shapes), 0.0, 0, np.empty(STRIP, dtype=state.dtype)
     for x, y in batches:
         steps += 1
-        value, g = gradient(unflatten(theta, shapes), x, y, loss)
-        # In place: the state is far larger than a batch.
-        g += np.multiply(theta, decay, out=wide)
-        m *= 0.9
-        m += np.multiply(g, 0.1, out=wide)
-        v *= 0.999
-        g *= g
-        g *= 0.001
-        v += g
-        np.sqrt(np.divide(v, 1 - 0.999**steps, out=wide), out=wide)
-        wide += 1e-8
-        np.divide(np.multiply(m, lr / (1 - 0.9**steps), out=g), wide, out=g)
-        theta -= g
+        value, grads = gradient(net, x.astype(state.dtype, copy=False), y, loss)
+        slow, fast = lr / (1 - 0.9**steps), (1 - 0.999**steps) ** -0.5
+        # In place and strip by strip: the state is far larger than a batch and than the nearest cache.
+        for i in range(0, size, STRIP):
+            t, g, a, b = (each[i : i + STRIP] for each in (theta, grads, m, v))
+            w = wide[: len(t)]
+            g += np.multiply(t, decay, out=w)
+            a *= 0.9
+            a += np.multiply(g, 0.1, out=w)
+            b *= 0.999
+            g *= g
+            g *= 0.001
+            b += g
+            np.sqrt(b, out=w)
+            w *= fast
+            w += 1e-8
+            np.multiply(a, slow, out=g)
+            g /= w
+            t -= g
         total, rows = total + value, rows + len(y)
     return np.concatenate([theta, m, v]), total, rows
 
@@ -174,7 +183,8 @@ def fit_residual_mlp(
         raise ValueError(f"unknown loss: {loss}")
     net = new_network(len(features), hidden, residual, seed)
     shapes = net.shapes
-    state = np.concatenate([net.flat(), np.zeros(2 * len(net.flat()))])
+    # Single precision, as the study trains its networks; states of partitions are averaged in double.
+    state = np.concatenate([net.flat(), np.zeros(2 * len(net.flat()))]).astype(np.float32)
     if len(state) > MAX_STATE:
         raise ValueError("network too large to average through the driver")
 
@@ -206,7 +216,7 @@ def fit_residual_mlp(
                     break
     finally:
         data.unpersist()
-    kept = unflatten(best[0][: len(best[0]) // 3], shapes)
+    kept = unflatten(best[0][: len(best[0]) // 3].astype(float), shapes)
     return Training(kept, len(history), best[1], history)
 
 
@@ -248,7 +258,7 @@ def _round(data, inputs, shapes, state, steps, loss, lr, decay, batch):
     def run(blocks: Iterator[bytes]) -> Iterator[tuple[int, np.ndarray]]:
         out, total, rows = _local_epoch(shared.value, shapes, steps, _batches(blocks, inputs + 1, batch), loss, lr, decay)
         if rows:
-            yield rows, np.append(out * rows, total)
+            yield rows, np.append(out.astype(float) * rows, total)
 
     found = in_order(data.mapPartitions(run))
     shared.unpersist()
@@ -256,7 +266,7 @@ def _round(data, inputs, shapes, state, steps, loss, lr, decay, batch):
         raise ValueError("no rows to learn from")
     n = sum(rows for rows, _ in found)
     sums = sum(total for _, total in found)
-    return sums[:-1] / n, sums[-1] / n
+    return (sums[:-1] / n).astype(state.dtype), sums[-1] / n
 
 
 def score_column(net: Network, features: list[str], output: str = "probability") -> Column:

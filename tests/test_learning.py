@@ -241,3 +241,12 @@ def test_sums_of_many_partitions_are_added_in_groups(spark):
     parts = spark.sparkContext.parallelize(range(100), 40).mapPartitions(lambda rows: [(len(v), np.array([float(sum(v))])) for v in [list(rows)]])
     found = mlp_many.in_order(parts)
     assert len(found) <= 7 and sum(n for n, _ in found) == 100 and sum(v for _, v in found) == 4950
+
+
+def test_training_state_is_single_and_averaged_without_loss(spark, data, monkeypatch):
+    states, before = [], mlp._round
+    monkeypatch.setattr(mlp, "_round", lambda *a: states.append(a[3]) or before(*a))
+    run = mlp.fit_residual_mlp(data, NAMES, hidden=100, epochs=2, partitions=3, lr=0.0)
+    start = mlp.new_network(len(NAMES), 100).flat().astype(np.float32)
+    assert [s.dtype for s in states] == [np.float32] * 2 and len(start) > mlp.STRIP
+    assert np.array_equal(states[1][: len(start)], start) and np.array_equal(run.network.flat(), start)
